@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelorus.llm import tokenize
+from pelorus.llm import components, survivor, tokenize
 from pelorus.plans.runtime import table
 
 
@@ -10,6 +10,6 @@ def p8_ids(spark, sf_dir):
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids,)}
+QUERIES = {f.__name__: f for f in (components.p3_found, survivor.p5_found, survivor.p5_currency, p8_ids)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p5_found": survivor.P5_SQL}
