@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelorus.llm import components, leakage, linkage, survivor, tokenize
+from pelorus.llm import components, leakage, linkage, survivor, tokenize, toxic
 from pelorus.plans.runtime import table
 
 
@@ -10,6 +10,6 @@ def p8_ids(spark, sf_dir):
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (components.p3_found, linkage.p4_found, linkage.p4_pairs, survivor.p5_found, survivor.p5_currency, p8_ids, leakage.p9_found, leakage.p9_leaks)}
+QUERIES = {f.__name__: f for f in (components.p3_found, linkage.p4_found, linkage.p4_pairs, survivor.p5_found, survivor.p5_currency, p8_ids, leakage.p9_found, leakage.p9_leaks, toxic.p10_found, toxic.p10_scores, toxic.p10_rates)}
 
 SQL: dict[str, str] = {"p5_found": survivor.P5_SQL}
