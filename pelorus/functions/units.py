@@ -74,6 +74,9 @@ _TOKEN = re.compile(
 )
 
 
+_BLANKS = re.compile(r"\s*")
+
+
 @lru_cache(maxsize=65536)
 def parse_unit(text: str | None) -> Unit | None:
     """The unit that an expression names; None if it is blank or isn't a unit."""
@@ -86,14 +89,19 @@ def parse_unit(text: str | None) -> Unit | None:
     if not text:
         return None
     scale, offset, dims, at, sign, factors = 1.0, 0.0, [0] * len(DIMENSIONS), 0, 1, 0
+    dangling = False
     while at < len(text):
         m = _TOKEN.match(text, at)
         if not m or m.end() == at:
             return None
         at = m.end()
         if m["op"]:
-            sign = 1 if m["op"] == "*" else -1
+            if dangling:
+                return None
+            sign, dangling = 1 if m["op"] == "*" else -1, True
+            at = _BLANKS.match(text, at).end()
             continue
+        dangling = False
         if m["power"]:
             scale *= 10.0 ** (sign * int(re.split(r"\^|\*\*", m["power"])[1]))
         elif m["number"]:
@@ -108,8 +116,8 @@ def parse_unit(text: str | None) -> Unit | None:
             dims = [d + power * u for d, u in zip(dims, unit.dims)]
             factors += 1
         sign = 1
-        at = re.compile(r"\s*").match(text, at).end()
-    return Unit(scale, offset if factors == 1 else 0.0, tuple(dims)) if factors else None
+        at = _BLANKS.match(text, at).end()
+    return Unit(scale, offset if factors == 1 else 0.0, tuple(dims)) if factors and not dangling else None
 
 
 FREQUENCY, ANGLE = (0, 0, -1, 0, 0, 0), (0, 0, 0, 1, 0, 0)
