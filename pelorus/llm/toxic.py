@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pelorus.llm.pages import BREAKS, PageBatch, fold, plain, tokens
 from pelorus.plans.runtime import table
 
-TRAIN_DOCS = 1000  # labelled documents of each class that the model is fitted on, at most
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 4000  # labelled documents of each class that the model is fitted on, at most
+PLAIN_SHARE = 0.1  # share of the training sequences without any word of toxic stretches that is kept
 OFFSETS = (-2, -1, 0, 1, 2)
 WINDOW = 128  # words in a training sequence
 ROUNDS = 40
@@ -137,17 +138,18 @@ class Model:
             out += self.by_word[k][wide_w[reach + o : reach + o + n]] + self.by_fold[k][wide_f[reach + o : reach + o + n]]
         return out
 
-    def fit(self, docs: list[np.ndarray], labels: list[np.ndarray], rounds: int = ROUNDS) -> None:
-        """Full-batch Adam on the penalised log-likelihood."""
-        # documents in windows, two pads after each document
+    def fit(self, docs: list[np.ndarray], labels: list[np.ndarray], hot: np.ndarray, rounds: int = ROUNDS) -> None:
+        """Full-batch Adam on the penalised log-likelihood of windows: all with a word of ``hot`` (word indices), some of the others."""
+        # two pads after each document
         flat = np.concatenate([np.append(d, [PAD] * 2) for d in docs])
         truth = np.concatenate([np.append(y, [0, 0]) for y in labels]).astype(np.float64)
         n = -(-len(flat) // WINDOW) * WINDOW
-        flat, truth = np.pad(flat, (0, n - len(flat))), np.pad(truth, (0, n - len(truth)))
-        shape = (n // WINDOW, WINDOW)
-        # a window without a toxic word tells less: it is enough to keep those with a word seen in toxic stretches
-        mask = np.ones(shape, bool)
-        y = truth.reshape(shape)
+        flat, truth = (np.pad(x, (0, n - len(x))).reshape(-1, WINDOW) for x in (flat, truth))
+        kept = np.isin(flat >> 32, hot).any(1) | truth.any(1) | (np.random.default_rng(3).random(len(flat)) < PLAIN_SHARE)
+        # pads between windows keep their contexts apart
+        flat, y = np.pad(flat[kept], ((0, 0), (0, max(OFFSETS)))), np.pad(truth[kept], ((0, 0), (0, max(OFFSETS))))
+        shape, n = flat.shape, flat.size
+        flat, truth, mask = flat.ravel(), y.ravel(), np.ones(shape, bool)
         seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
         w, f, reach = flat >> 32, flat & 0xFFFFFFFF, max(OFFSETS)
         wide_w, wide_f = (np.concatenate([np.zeros(reach, np.int64), x, np.zeros(reach, np.int64)]) for x in (w, f))
@@ -168,6 +170,9 @@ class Model:
                 b *= 0.99
                 b += 0.01 * g * g
                 q += 0.25 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
+            # an unknown word is no evidence: else a text of unknown words would count as toxic
+            for q in (self.by_word, self.by_fold):
+                q[:, [PAD, RARE]] = np.minimum(q[:, [PAD, RARE]], 0.0)
         self.bias = float(params[2][0])
 
     def pack(self, raw: list[list[str]]) -> list[np.ndarray]:
@@ -220,9 +225,11 @@ def document_score(p: np.ndarray) -> float:
     return min(1.0, best / 7.0)
 
 
-def word_labels(docs: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
-    """Word labels from document labels: in toxic documents, the stretches of words that clean documents lack."""
-    words = [[word_of(w) for w in d] for d in docs]
+def word_labels(docs: list[list[str]], toxic: list[int]) -> tuple[list[np.ndarray], set[str]]:
+    """Word labels from document labels, and the words that speak for toxicity: in toxic documents, the stretches of
+    words that clean documents lack."""
+    plain_of: dict[str, str] = {w: word_of(w) for w in set(chain.from_iterable(docs))}
+    words = [[plain_of[w] for w in d] for d in docs]
     inside, outside = Counter(), Counter()
     for ws, y in zip(words, toxic):
         (inside if y else outside).update(set(ws))
@@ -235,31 +242,33 @@ def word_labels(docs: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
         return float(np.clip(odds * trust, -1.0, 4.0)) - 0.6 + (2.0 if w in LEXICON else 0.0)
 
     cache = {w: weight(w) for w in inside}
-    return [stretches(np.array([cache[w] for w in ws]), 5.0) if y else np.zeros(len(ws), np.int8) for ws, y in zip(words, toxic)]
+    labels = [stretches(np.array([cache[w] for w in ws]), 5.0) if y else np.zeros(len(ws), np.int8) for ws, y in zip(words, toxic)]
+    hot = {w for ws, y in zip(words, labels) for w, t in zip(ws, y) if t and cache[w] > 0.5} | LEXICON
+    return labels, hot
 
 
 def train(docs: list[list[str]], toxic: list[int]) -> Model:
     """Fit, leave out documents that the fit contradicts, and fit again."""
-    labels = word_labels(docs, toxic)
-    counts = Counter(chain.from_iterable({word_of(w) for w in d} for d in docs))
-    marked = {word_of(w) for d, y in zip(docs, labels) for w, t in zip(d, y) if t}
-    model = Model(sorted(w for w, c in counts.items() if w and (c > 2 or w in marked)))
+    labels, hot = word_labels(docs, toxic)
+    counts = Counter(chain.from_iterable({word_of(w) for w in set(d)} for d in docs))
+    model = Model(sorted(w for w, c in counts.items() if w and (c > 2 or w in hot)))
     for w, i in model.words.items():
         if w in LEXICON:
             model.by_word[OFFSETS.index(0), i] = 1.0
     if not any(y.any() for y in labels):
         return model
     packed = model.pack(docs)
+    telling = np.array([i for w, i in model.words.items() if w in hot], np.int64)
     # a toxic label without a stretch is a wrong one, or shows words that nothing vouches for
     kept = [i for i, (y, t) in enumerate(zip(labels, toxic)) if y.any() or not t]
-    model.fit([packed[i] for i in kept], [labels[i] for i in kept], ROUNDS // 2)
+    model.fit([packed[i] for i in kept], [labels[i] for i in kept], telling, ROUNDS // 2)
     found = model.tag(packed)
     kept = [i for i in kept if toxic[i] or document_score(found[i]) < THRESHOLD]
     # copies with words hidden: of every toxic document, and of as many clean ones
     chance, bad = np.random.default_rng(7), [i for i in kept if toxic[i]]
     copied = bad + [i for i in kept if not toxic[i]][: len(bad)]
     hidden = [np.where(chance.random(len(packed[i])) < DROPPED, (RARE << 32) | RARE, packed[i]) for i in copied]
-    model.fit([packed[i] for i in kept] + hidden, [labels[i] for i in kept + copied])
+    model.fit([packed[i] for i in kept] + hidden, [labels[i] for i in kept + copied], telling)
     return model
 
 
@@ -272,16 +281,16 @@ def _flows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part.flowing(i) for i in range(len(part.texts))], pa.string())], names=["doc_id", "toxic", "flow"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[list[str]], list[int]]:
-    """Words and label of at most ``train_docs`` labelled documents of each class, the same ones every time.
+def labelled_sample(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, train_clean: int = TRAIN_CLEAN) -> tuple[list[list[str]], list[int]]:
+    """Words and label of at most ``train_toxic`` and ``train_clean`` labelled documents, the same ones every time.
 
     A document labelled twice counts as toxic if most of its labels say so.
     """
     one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") > 0.5).cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
-    chosen = one.filter("toxic = 1").orderBy(order, "doc_id").limit(train_docs).unionByName(one.filter("toxic = 0").orderBy(order, "doc_id").limit(train_docs))
+    chosen = one.filter("toxic = 1").orderBy(order, "doc_id").limit(train_toxic).unionByName(one.filter("toxic = 0").orderBy(order, "doc_id").limit(train_clean))
     pages = docs.select("doc_id", *PAGE[:2], *(F.col(c).cast("double").alias(c) for c in PAGE[2:]))
-    rows = pages.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", *PAGE)  # bounded by train_docs
+    rows = pages.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", *PAGE)  # bounded by the two limits
     got = sorted((r["doc_id"], r["toxic"], r["flow"]) for r in rows.mapInArrow(_flows, "doc_id long, toxic int, flow string").collect())
     return [tokens(f) for *_, f in got], [int(t) for _, t, _ in got]
 
@@ -323,14 +332,14 @@ def char_spans(page: PageBatch, i: int, found: list[tuple[int, int, float]]) ->
     return out
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, train_clean: int = TRAIN_CLEAN) -> DataFrame:
     """doc_id, source, score (0 to 1), spans (code-point offsets of toxic words) of every document.
 
     docs: doc_id, source, text, page_lines, page_w, n_columns; labels: doc_id, toxic. Null and blank texts score 0;
     repeated rows are each scored; without usable labels only the lexicon's weights speak. The model is fitted on
-    a bounded sample of labelled documents (``train_docs`` of each class); every document is read whole. No shuffle.
+    a bounded sample of labelled documents (``train_toxic`` and ``train_clean``); every document is read whole. No shuffle.
     """
-    model = train(*labelled_sample(docs, labels, train_docs))
+    model = train(*labelled_sample(docs, labels, train_toxic, train_clean))
     model.cache.clear()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     pages = docs.select("doc_id", "source", *PAGE[:2], *(F.col(c).cast("double").alias(c) for c in PAGE[2:]))
