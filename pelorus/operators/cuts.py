@@ -121,12 +121,16 @@ def island_cut(cut: Cut, columns: dict[str, str]) -> Column:
     return F.lit(True)
 
 
+def _component_test(cut: Cut) -> Callable[[Column], Column]:
+    return lambda c: passes(cut, COMPONENT[cut.name](c), "double")
+
+
 def select(df: DataFrame, cuts: list[Cut], require_all: bool = True) -> DataFrame:
     """Rows that pass all cuts (or, if not ``require_all``, at least one enabled cut). Component cuts drop failing
     elements of ``components`` first, and a row that loses all of them fails."""
     for cut in cuts:
         if cut.name in COMPONENT and cut.enabled:
-            df = df.withColumn("components", F.filter("components", lambda c, cut=cut: passes(cut, COMPONENT[cut.name](c), "double"))).filter(F.size("components") > 0)
+            df = df.withColumn("components", F.filter("components", _component_test(cut))).filter(F.size("components") > 0)
     columns = dict(df.dtypes)
     tests = [island_cut(c, columns) for c in cuts if c.enabled and c.name not in COMPONENT]
     if not tests:
