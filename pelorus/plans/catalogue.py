@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelorus.functions import stats
-from pelorus.operators import image
-from pelorus.plans import imagequeries, linkqueries, sourcequeries
+from pelorus.plans import imagequeries, linkqueries, measurequeries, sourcequeries
 from pelorus.plans.runtime import table
 
 QUERIES: dict = {}
@@ -160,6 +159,6 @@ def bootstrap_error(spark, sf_dir):
     return stats.bootstrap(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", 50)
 
 
-for _module in (imagequeries, linkqueries, sourcequeries):
+for _module in (imagequeries, linkqueries, measurequeries, sourcequeries):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

@@ -3,6 +3,7 @@
 import glob
 import os
 
+import numpy as np
 import pytest
 
 from pelorus.plans import catalogue, problems
@@ -25,11 +26,13 @@ def duck():
 
 
 def value(v):
+    if isinstance(v, (list, np.ndarray)):
+        return str([value(x) for x in v])
     if v is None or v != v or str(v) in ("NaT", "None", "<NA>"):
         return None
-    if hasattr(v, "tolist"):
-        v = v.tolist()
-    return round(v, 6) + 0.0 if isinstance(v, float) else str(v) if isinstance(v, list) else v
+    if isinstance(v, np.generic):
+        v = v.item()
+    return round(v, 6) + 0.0 if isinstance(v, float) else v
 
 
 def rows(df):
