@@ -25,9 +25,9 @@ K1 = 1.2
 FLUX_REACH, SIZE_REACH = 0.45, 0.25  # decades
 MAX_GAP = 6.0  # a row listed twice lies this far below the best of its partner at most
 UNKNOWN = 0.4  # soft frequency of an attribute that one side lacks
-CELL = 2 * RADIUS / 3600.0 * math.pi / 180.0
+CELL = 4 * RADIUS / 3600.0 * math.pi / 180.0  # twice a disc: it meets one or two cells along an axis
 BINS_PER_DECADE = 10
-DECOYS = ((67.0, 0.0), (-67.0, 0.0), (0.0, 67.0), (0.0, -67.0))
+DECOYS = ((67.0, 0.0), (0.0, -67.0))
 
 
 def _value(c: Column) -> Column:
@@ -77,7 +77,7 @@ def index(records: DataFrame) -> DataFrame:
 def lookup(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """Candidate pairs within RADIUS: q, p, offsets dx, dy (arcsec, query minus posting), df, db (decades), weights."""
     d = _xyz(queries)
-    reach = CELL / 2 + 1e-12
+    reach = CELL / 4 + 1e-12
     for a in "xyz":
         lo, hi = (F.floor((F.col(a) + 1.0 + s * reach) / CELL).cast("long") for s in (-1, 1))
         d = d.withColumn(f"c{a}", F.explode(F.sequence(lo, hi)))
@@ -88,7 +88,7 @@ def lookup(queries: DataFrame, postings: DataFrame) -> DataFrame:
     q = d.select("cx", "cy", "cz", F.col("id").alias("q"), *(F.col(c).alias("q_" + c) for c in ("ra", "dec", "s", "b", "x", "y", "z")))
     p = postings.withColumnRenamed("id", "p")
     chord2 = (F.col("q_x") - F.col("x")) ** 2 + (F.col("q_y") - F.col("y")) ** 2 + (F.col("q_z") - F.col("z")) ** 2
-    pairs = q.join(p, ["cx", "cy", "cz"]).filter(chord2 <= (CELL / 2) ** 2)
+    pairs = q.join(p, ["cx", "cy", "cz"]).filter(chord2 <= (CELL / 4) ** 2)
     dra = F.pmod(F.col("q_ra") - F.col("ra") + 180.0, F.lit(360.0)) - 180.0
     # near the poles the angle between meridians isn't small: the offset to the east is the tangent-plane one
     dx = F.cos(F.radians("q_dec")) * F.sin(F.radians(dra)) * (180.0 / math.pi)
