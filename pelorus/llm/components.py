@@ -153,3 +153,22 @@ def consolidate(components: DataFrame, matches: DataFrame, bounded_edges: int =
 
 def p3_found(spark, sf_dir):
     return consolidate(table(spark, sf_dir, "components"), table(spark, sf_dir, "compmatches"))
+
+
+def _end_sql(k: int) -> str:
+    name = f"regexp_replace(lower(sname_{k}), '\\s', '', 'g')"
+    return f"""catalogindex_{k} AS c{k}, CASE WHEN fitcomponentindex_{k} IS NULL THEN regexp_replace({name}, '_fitcomp[0-9]+$', '') ELSE {name} END AS n{k},
+ coalesce(fitcomponentindex_{k}, TRY_CAST(nullif(regexp_extract({name}, '_fitcomp([0-9]+)$', 1), '') AS INTEGER) - 1) AS f{k}"""
+
+
+P3_SQL = f"""
+WITH RECURSIVE k AS (SELECT comp_id, catalogindex AS c, regexp_replace(lower(sname), '\\s', '', 'g') AS n, fitcomponentindex AS f FROM components),
+r AS (SELECT c, n, f, min(comp_id) AS rep FROM k WHERE c IS NOT NULL AND n IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT DISTINCT {_end_sql(1)}, {_end_sql(2)} FROM compmatches),
+e AS (SELECT a.rep AS a, b.rep AS b FROM p JOIN r a ON a.c = c1 AND a.n = n1 AND a.f = f1 JOIN r b ON b.c = c2 AND b.n = n2 AND b.f = f2 WHERE a.rep <> b.rep),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w AS (SELECT rep AS node, rep AS g FROM r UNION SELECT u.b, w.g FROM w JOIN u ON u.a = w.node WHERE w.g < u.b),
+l AS (SELECT node, min(g) AS g FROM w GROUP BY 1),
+m AS (SELECT k.comp_id, l.g AS group_id, count(*) OVER (PARTITION BY l.g) AS size FROM k JOIN r USING (c, n, f) JOIN l ON l.node = r.rep)
+SELECT comp_id, group_id FROM m WHERE size > 1
+"""
