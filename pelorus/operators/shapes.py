@@ -16,15 +16,16 @@ def outline(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(pts) < 3:
         return pts
 
-    def half(p: np.ndarray) -> list:
+    def half(p: list) -> list:
         out: list = []
         for q in p:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], q - out[-1]) <= 0:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-1][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-1][0]) <= 0:
                 out.pop()
             out.append(q)
         return out
 
-    return np.array(half(pts)[:-1] + half(pts[::-1])[:-1])
+    low = pts.tolist()
+    return np.array(half(low)[:-1] + half(low[::-1])[:-1])
 
 
 def area(poly: np.ndarray) -> float:
@@ -36,18 +37,19 @@ def area(poly: np.ndarray) -> float:
 
 def clip(subject: np.ndarray, by: np.ndarray) -> np.ndarray:
     """The part of a polygon inside a convex anticlockwise one, cut side by side."""
-    out = [tuple(p) for p in subject]
-    for k in range(len(by)):
-        a, b = by[k], by[(k + 1) % len(by)]
-        inside = lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) >= 0  # noqa: B023, E731
+    out, sides = subject.tolist(), by.tolist()
+    for (ax, ay), (bx, by_) in zip(sides, sides[1:] + sides[:1]):
+        ux, uy = bx - ax, by_ - ay
+        left = [ux * (y - ay) - uy * (x - ax) for x, y in out]
+        if min(left) >= 0:
+            continue
         kept: list = []
-        for p, q in zip(out, out[1:] + out[:1]):
-            if inside(p) != inside(q):
-                d1, d2 = (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]), (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0])
-                t = d1 / (d1 - d2)
-                cross = (p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]))
-                kept += [cross, q] if inside(q) else [cross]
-            elif inside(q):
+        for k, (p, d) in enumerate(zip(out, left)):
+            q, e = out[k + 1 - len(out)], left[k + 1 - len(out)]
+            if (d >= 0) != (e >= 0):
+                t = d / (d - e)
+                kept.append([p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])])
+            if e >= 0:
                 kept.append(q)
         out = kept
         if not out:

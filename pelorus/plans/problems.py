@@ -55,5 +55,14 @@ ext AS (SELECT region_id, (min(x) + max(x)) / 2 AS mid, min(y) AS ya, max(y) AS
 cand AS (SELECT obj_id, region_id, mid + ({_FOLD.format("ra - mid")}) AS x, dec AS y FROM o JOIN ext ON dec BETWEEN ya AND yb),
 poly AS (SELECT obj_id, cand.region_id FROM cand JOIN side USING (region_id) WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY obj_id, cand.region_id HAVING count(*) % 2 = 1)
 SELECT kind, id_1, id_2 FROM near UNION ALL SELECT 'inside', obj_id, region_id FROM circ UNION ALL SELECT 'inside', obj_id, region_id FROM box UNION ALL SELECT 'inside', obj_id, region_id FROM poly
+""",
+    "p7_found": r"""
+WITH r AS (SELECT line_id, raw_line FROM selavyraw WHERE raw_line IS NOT NULL AND NOT regexp_matches(raw_line, '^[ \t]*($|[#*/])')),
+t AS (SELECT line_id, regexp_full_match(raw_line, '[ \t]*(("([^"]|"")*"|[^ \t"]+)([ \t]+|$))*') AS ok, regexp_extract_all(raw_line, '"(?:[^"]|"")*"|[^ \t"]+') AS f FROM r),
+v AS (SELECT line_id, ok, len(f) AS n, list_transform([f[3], f[6], f[7]], lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, len(x) - 2), '""', '"') ELSE x END) AS c FROM t),
+n AS (SELECT *, list_transform(c, lambda x: CASE WHEN regexp_full_match(x, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(x AS DOUBLE) END) AS d FROM v),
+e AS (SELECT line_id, CASE WHEN NOT ok THEN 'quoting' WHEN n <> 37 THEN 'columns' WHEN trim(c[1], ' ' || chr(9)) = '' THEN 'component_name'
+ WHEN d[2] IS NULL OR NOT (d[2] >= 0 AND d[2] < 360) THEN 'ra_deg_cont' WHEN d[3] IS NULL OR NOT (d[3] BETWEEN -90 AND 90) THEN 'dec_deg_cont' END AS reason FROM n)
+SELECT line_id, reason FROM e WHERE reason IS NOT NULL
 """,
 }

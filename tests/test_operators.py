@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from pelorus.functions import scalars, stats
-from pelorus.operators import blobs, cuts, image, match, segment, spectra
+from pelorus.functions import scalars, stats, wcs
+from pelorus.operators import blobs, classify, cuts, image, match, residual, segment, shapes, spectra
 from pelorus.sources import catalogs, config, fits
 from pyspark.sql import functions as F
 
@@ -169,3 +169,44 @@ def test_segmentation(spark):
 def test_sources_merge_at_edges(spark):
     d = spark.createDataFrame([(1, "a", 0, 0, 1.0), (1, "a", 0, 1, 1.0), (2, "a", 1, 2, 1.0), (3, "a", 9, 9, 1.0)], "source_id long, image_id string, ix long, iy long, v double")
     assert sorted(map(tuple, blobs.merge_at_edges(d).collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_outlines_and_overlaps(spark):
+    square = shapes.outline(np.array([0.0, 2, 2, 0, 1]), np.array([0.0, 0, 2, 2, 1]))
+    assert len(square) == 4 and shapes.area(square) == 4.0
+    assert np.isclose(shapes.area(shapes.clip(square + 1, square)), 1.0) and shapes.area(shapes.clip(square + 5, square)) == 0.0
+    assert np.allclose(shapes.narrowest_box(square), (2, 2))
+    row = dict(x1=0.0, y1=0.0, a1=2.0, b1=1.0, t1=10.0, x2=0.0, y2=0.0, a2=4.0, b2=3.0, t2=0.0)
+    far = row | {"x2": 50.0}
+    got = shapes.ellipse_overlaps(spark.createDataFrame([row, far])).collect()
+    assert sorted(r["flag"] for r in got) == [0, 2] and np.isclose(max(r["overlap"] for r in got), 2 * np.pi, rtol=0.01)
+    turned = shapes.hu_moments(np.array([0.0, 0, 0, 1]), np.array([0.0, 1, 2, 0]), np.ones(4))
+    assert np.allclose(turned, shapes.hu_moments(np.array([0.0, 1, 2, 0]) * -1, np.array([0.0, 0, 0, 1]), np.ones(4)))
+
+
+def test_projections(spark):
+    one = spark.range(1)
+    head = [F.lit(v) for v in (50.0, 60.0, 359.99, -40.0, -0.01, 0.01)]
+    for name in ("TAN", "SIN", "CAR"):
+        sky = wcs.pixel_to_sky(F.lit(10.0), F.lit(90.0), *head, projection=name)
+        r = one.select(sky.alias("s")).select("s", wcs.sky_to_pixel(F.col("s.ra"), F.col("s.dec"), *head, projection=name).alias("p")).first()
+        assert np.allclose([r["p"]["ix"], r["p"]["iy"]], [10, 90], atol=1e-6) and 0 <= r["s"]["ra"] < 360
+
+
+def test_residuals(spark):
+    a = np.zeros((9, 9))
+    a[4, 4], a[4, 5] = 5.0, 4.0
+    d = pixels(spark, a)
+    dome = as_array(residual.h_domes(d, 1.0), a.shape, "dome")
+    assert np.isclose(dome[4, 4], 1.0) and np.isclose(dome[0, 0], 0.0)
+    assert np.allclose(as_array(residual.guided_filter(pixels(spark, a * 0 + 3.0), 1, 0.1), a.shape, "smooth"), 3.0)
+    src = spark.createDataFrame([("a", 1, 4.0, 4.0)], "image_id string, id long, x double, y double")
+    assert residual.aperture_fluxes(d, src, 1.0, cell=3).first()["flux"] == 9.0
+
+
+def test_classifier(spark):
+    chance = np.random.default_rng(3)
+    rows = [(float(x), float(y), int(x + y > 0)) for x, y in chance.normal(size=(300, 2))] + [(None, 1.0, 1), (float("nan"), 1.0, 0)]
+    d = spark.createDataFrame(rows, "u double, w double, real int")
+    e = classify.efficiencies(classify.apply(classify.train(d, ["u", "w"], "real"), d, ["u", "w"]), "real").first()
+    assert e["n"] == 300 and e["efficiency"] > 0.9 and e["purity"] > 0.9
