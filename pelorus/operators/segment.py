@@ -148,3 +148,58 @@ def chan_vese(pixels: DataFrame, rounds: int = 100, smooth: float = 1.0, tile: i
     """image_id, ix, iy, inside: the bright phase of a two-phase segmentation, tile by tile (the tile bounds the work of a task)."""
     d = image.tiled(pixels.select(*PIXEL, F.col("v").cast("double").alias("v")), tile, tile)
     return d.groupBy("image_id", "tx", "ty").applyInPandas(_chan_vese(rounds, smooth), "image_id string, ix long, iy long, inside boolean")
+
+
+def multi_saliency(pixels: DataFrame, sizes: tuple[int, ...] = (8, 16), share: float = 0.5) -> DataFrame:
+    """image_id, ix, iy, saliency over several region sizes: a pixel that is above its map's mean in enough of them takes the largest, others the smallest."""
+    maps = None
+    for k, size in enumerate(sizes):
+        m = saliency_map(pixels, size).withColumn("k", F.lit(k))
+        maps = m if maps is None else maps.unionByName(m)
+    maps = cut_lineage(maps)
+    mean = maps.groupBy("image_id", "k").agg(F.avg("saliency").alias("m"))
+    d = maps.join(mean, ["image_id", "k"]).groupBy(*PIXEL).agg(F.sum((F.col("saliency") > F.col("m")).cast("int")).alias("votes"), F.max("saliency").alias("hi"), F.min("saliency").alias("lo"))
+    return d.select(*PIXEL, F.when(F.col("votes") >= round(share * len(sizes)), F.col("hi")).otherwise(F.col("lo")).alias("saliency"))
+
+
+def valley_threshold(hist: DataFrame, size: int = 3) -> DataFrame:
+    """threshold: lower edge of the first bin, after the fullest one, that is no fuller than any within ``size`` bins around."""
+    w = Window.partitionBy(F.lit(1)).orderBy("bin").rangeBetween(-(size // 2), size // 2)  # a histogram has as many rows as bins
+    d = hist.withColumn("least", F.min("count").over(w))
+    top = hist.agg(F.max_by("bin", F.struct("count", -F.col("bin"))).alias("top"), (F.max("bin") + 1).alias("bins"))
+    low = d.crossJoin(F.broadcast(top)).filter((F.col("bin") > F.col("top")) & (F.col("count") == F.col("least")))
+    return low.agg(F.min_by(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.col("bins"), "bin").alias("threshold"))
+
+
+def optimal_threshold(otsu: DataFrame, valley: DataFrame, median: DataFrame, factor: float = 1.0) -> DataFrame:
+    """threshold: the larger of the median times ``factor`` and the smaller of Otsu and valley; infinite if any is missing."""
+    d = otsu.select(F.col("threshold").alias("o")).crossJoin(valley.select(F.col("threshold").alias("v"))).crossJoin(median.select(F.col("median").alias("m")))  # one row each
+    return d.select(F.coalesce(F.greatest(F.least("o", "v"), F.col("m") * factor) + F.col("o") * 0 + F.col("v") * 0 + F.col("m") * 0, F.lit(float("inf"))).alias("threshold"))
+
+
+def _watershed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pixels of a tile in order of falling value; each joins the basin of its best labelled neighbour, a peak starts one."""
+    x, y, v = (pdf["ix"] - pdf["ix"].min()).to_numpy(), (pdf["iy"] - pdf["iy"].min()).to_numpy(), pdf["v"].to_numpy(float)
+    grid = np.full((x.max() + 3, y.max() + 3), -1)
+    basin = np.full(len(v), -1)
+    for i in np.lexsort((y, x, -v)):
+        near = grid[x[i] : x[i] + 3, y[i] : y[i] + 3].ravel()
+        near = near[near >= 0]
+        basin[i] = basin[near[np.argmax(v[near])]] if len(near) else i
+        grid[x[i] + 1, y[i] + 1] = i
+    return pdf[["image_id", "ix", "iy", "v"]].assign(basin=pdf["ix"].to_numpy()[basin] * 1_000_000_000 + pdf["iy"].to_numpy()[basin])
+
+
+def watershed(pixels: DataFrame, floor: float, tile: int = 512) -> DataFrame:
+    """image_id, ix, iy, v, basin: pixels above ``floor`` with the peak that they rise to, named by its place; tile by tile."""
+    d = image.tiled(pixels.filter(F.col("v") > floor).select(*PIXEL, F.col("v").cast("double").alias("v")), tile, tile)
+    return d.groupBy("image_id", "tx", "ty").applyInPandas(_watershed, "image_id string, ix long, iy long, v double, basin long")
+
+
+def nested_blobs(mothers: DataFrame, inner: DataFrame, least_share: float = 0.0, largest_share: float = 0.5) -> DataFrame:
+    """blob, mother: inner blobs (image_id, ix, iy, blob) whose pixels lie in one outer blob and are a small enough share of it."""
+    size = mothers.groupBy("image_id", F.col("blob").alias("mother")).agg(F.count("*").alias("big"))
+    hit = inner.select(*PIXEL, "blob").join(mothers.select(*PIXEL, F.col("blob").alias("mother")), PIXEL).groupBy("image_id", "blob", "mother").agg(F.count("*").alias("n"))
+    own = inner.groupBy("image_id", "blob").agg(F.count("*").alias("all"))
+    d = hit.join(own, ["image_id", "blob"]).filter("n = all").join(size, ["image_id", "mother"])
+    return d.filter((F.col("n") / F.col("big") > least_share) & (F.col("n") / F.col("big") <= largest_share)).select("blob", "mother")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pelorus.functions import wcs
-from pelorus.operators import blobs, classify, image, residual, shapes
+from pelorus.functions import stats, wcs
+from pelorus.operators import blobs, classify, image, residual, sampling, segment, shapes
 from pelorus.plans.imagequeries import PX, _significance, raster, rounded
 from pelorus.plans.runtime import table
 
@@ -106,3 +106,47 @@ def component_classifier(spark, sf_dir):
     features = ["lg_a", "npix", "red"]
     model = classify.train(c, features, "fake", (6,))
     return classify.efficiencies(classify.apply(model, c, features), "fake")
+
+
+@query("SELECT a.i, b.j, a.i * 40 - a.i * (a.i + 3) // 2 + b.j - 1 AS packed FROM range(40) a(i), range(40) b(j) WHERE a.i < b.j")
+def triangle_pairs(spark, sf_dir):
+    return sampling.triangle_pairs(spark, 40)
+
+
+@query("SELECT name, count(*) AS n FROM skyobjects WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark, sf_dir):
+    return sampling.duplicates(table(spark, sf_dir, "skyobjects"), "name")
+
+
+@query()
+def random_sample(spark, sf_dir):
+    return sampling.random_k(table(spark, sf_dir, "orders"), "o_orderkey", 100).select("o_orderkey")
+
+
+@query()
+def random_positions(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return sampling.positions_in_box(s, "s_suppkey", -1.0, 1.0, -1.0, 1.0, lambda x, y: x * x + y * y <= 1.0)
+
+
+@query()
+def multi_saliency(spark, sf_dir):
+    return rounded(segment.multi_saliency(raster(spark, sf_dir), (8, 16)))
+
+
+@query()
+def global_threshold(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.lit("a").alias("k"), "value")
+    h = stats.histogram(e, "value", 40)
+    return rounded(segment.optimal_threshold(stats.otsu(h, 40), segment.valley_threshold(h), stats.medians(e, ["k"], "value")))
+
+
+@query()
+def watershed(spark, sf_dir):
+    return segment.watershed(raster(spark, sf_dir), 100.0)
+
+
+@query()
+def nested_blobs(spark, sf_dir):
+    z = _significance(spark, sf_dir).select(*image.PIXEL, F.col("z").alias("v"))
+    return segment.nested_blobs(blobs.find_blobs(z, 2.0, 0.5, 4, 32), blobs.find_blobs(z, 2.5, 2.0, 1, 32))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from pelorus.functions import scalars, stats, wcs
-from pelorus.operators import blobs, classify, cuts, image, match, residual, segment, shapes, spectra
+from pelorus.operators import blobs, classify, cuts, image, match, residual, sampling, segment, shapes, spectra
 from pelorus.sources import catalogs, config, fits
 from pyspark.sql import functions as F
 
@@ -210,3 +210,23 @@ def test_classifier(spark):
     d = spark.createDataFrame(rows, "u double, w double, real int")
     e = classify.efficiencies(classify.apply(classify.train(d, ["u", "w"], "real"), d, ["u", "w"]), "real").first()
     assert e["n"] == 300 and e["efficiency"] > 0.9 and e["purity"] > 0.9
+
+
+def test_samples_and_pairs(spark):
+    got = sorted(map(tuple, sampling.triangle_pairs(spark, 5).collect()))
+    assert [g[2] for g in got] == list(range(10)) and sampling.triangle_pairs(spark, 1).count() == 0
+    d = spark.range(2000).withColumnRenamed("id", "k")
+    assert {r["k"] for r in sampling.random_k(d, "k", 10).collect()} == {r["k"] for r in sampling.random_k(d.repartition(7), "k", 10).collect()}
+    assert abs(sampling.resamples(d, "k", 5).count() - 10_000) < 500
+    p = sampling.positions_in_box(d, "k", -1.0, 1.0, -1.0, 1.0, lambda x, y: x * x + y * y <= 1.0)
+    assert p.filter("x * x + y * y > 1 or x is null").count() == 0
+
+
+def test_watershed_and_nesting(spark):
+    a = np.zeros((9, 9))
+    a[2, 2], a[2, 3], a[6, 6], a[4, 4] = 5, 3, 4, 1
+    w = segment.watershed(pixels(spark, a), 0.5)
+    assert {(r["ix"], r["iy"]): r["basin"] for r in w.collect()} == {(2, 2): 2_000_000_002, (2, 3): 2_000_000_002, (6, 6): 6_000_000_006, (4, 4): 4_000_000_004}
+    outer = pixels(spark, np.ones((4, 4))).withColumn("blob", F.lit(1))
+    inner = pixels(spark, np.ones((2, 2))).withColumn("blob", F.lit(7))
+    assert [tuple(r) for r in segment.nested_blobs(outer, inner).collect()] == [(7, 1)]
