@@ -179,7 +179,7 @@ def link(left: DataFrame, right: DataFrame, left_key: str, right_key: str, thres
     for east, north in DECOYS:
         moved = a.withColumns({"dec": F.greatest(F.least(F.col("dec") + north / 3600.0, F.lit(90.0)), F.lit(-90.0)), "ra": F.pmod(F.col("ra") + F.lit(east / 3600.0) / F.greatest(F.cos(F.radians("dec")), F.lit(1e-3)), F.lit(360.0)), "id": F.struct("id", F.lit(east).alias("e"), F.lit(north).alias("n"))})
         fake = moved if fake is None else fake.unionByName(moved)
-    decoys = with_gap(score(lookup(fake, postings), shift))
+    decoys = with_gap(cut_lineage(score(lookup(fake, postings), shift)))
     w = calibrate(scored.filter("score = best_q and score = best_p"), decoys.filter("score = best_q"))
     confidence = 1.0 / (1.0 + F.exp(-(float(w[0]) + float(w[1]) * F.col("score") + float(w[2]) * F.col("gap"))))
     kept = agrees(scored.withColumn("confidence", confidence)).filter((F.col("confidence") >= threshold) & (F.col("gap") <= MAX_GAP))
