@@ -10,6 +10,7 @@ from pelorus.plans.runtime import cut_lineage
 MAD_TO_RMS = 1.4826
 # brackets of the exact order statistics: percentile_approx errs by 1/ACCURACY of the ranks at most
 ACCURACY, MARGIN, SMALL = 10_000, 0.0005, 4_000
+BROADCAST_GROUPS = 50_000  # rows of a few numbers: some MB
 
 
 def finite(c: Column) -> Column:
@@ -17,6 +18,14 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def attach(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    """Join one row a group to the rows. The groups are written and counted first: few are broadcast, so that the rows
+    aren't shuffled onto a few hot keys; many are joined as any table."""
+    groups = cut_lineage(per_group)
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return df.join(F.broadcast(groups) if few else groups, keys) if keys else df.crossJoin(F.broadcast(groups))
+
+
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, rms, skewness, kurtosis, min, max of finite values; rms is 0 for two values or fewer."""
     v = F.col(value).cast("double")
@@ -70,7 +79,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[st
         for i, name in enumerate(names)
     ]
     base = base.select(*keys, "n", F.array(*ranks).alias("_w"))
-    counted = d.join(base, keys) if keys else d.crossJoin(F.broadcast(base))
+    counted = attach(d, base, keys)
     # below a bracket: one count; inside it: equal values are one row with a count, so that ties don't swell it
     place = F.when(F.col("_v") >= F.col("_q.a"), F.col("_v"))
     long = counted.select(*keys, "n", "_v", F.explode("_w").alias("_q")).filter(F.col("_v") <= F.col("_q.b"))
@@ -97,7 +106,8 @@ def medians(df: DataFrame, keys: list[str], value: str, compat: bool = False) ->
 def mad(df: DataFrame, keys: list[str], value: str, compat: bool = False) -> DataFrame:
     """keys, n, median, mad: the median of absolute deviations from the median (times 1.4826 it estimates the rms)."""
     m = medians(df, keys, value, compat)
-    away = df.join(m.select(*keys, F.col("median").alias("_m")), keys).withColumn("_d", F.abs(F.col(value).cast("double") - F.col("_m")))
+    m = cut_lineage(m)
+    away = attach(df, m.select(*keys, F.col("median").alias("_m")), keys).withColumn("_d", F.abs(F.col(value).cast("double") - F.col("_m")))
     return m.join(medians(away, keys, "_d", compat).select(*keys, F.col("median").alias("mad")), keys)
 
 
@@ -115,7 +125,7 @@ def clipped(df: DataFrame, keys: list[str], value: str, k: float = 3.0, iteratio
     now = cut_lineage(stats(df).withColumn("done", F.lit(False)))
     for _ in range(iterations):
         old = now.select(*keys, *(F.col(c).alias("o_" + c) for c in ("mean", "rms", "median", "done")))
-        kept = df.join(old, keys).filter(~F.col("o_done") & (F.abs(v - F.col("o_median")) < k * F.col("o_rms")))
+        kept = attach(df, old, keys).filter(~F.col("o_done") & (F.abs(v - F.col("o_median")) < k * F.col("o_rms")))
         new = stats(kept.select(*keys, value))
         d = old.join(new, keys, "left")
         moved = F.col("mean").isNotNull() & ~F.col("o_done")
@@ -128,10 +138,10 @@ def clipped(df: DataFrame, keys: list[str], value: str, k: float = 3.0, iteratio
 def biweight(df: DataFrame, keys: list[str], value: str, c: float = 6.0, iterations: int = 10, tol: float = 1e-4) -> DataFrame:
     """keys, location, scale: Tukey's biweight from the median and mad·1.4826; stops before the scale is updated once the location moves by ``tol`` at most."""
     start = mad(df, keys, value)
-    now = cut_lineage(start).select(*keys, F.col("median").alias("location"), (F.col("mad") * MAD_TO_RMS).alias("scale"), F.lit(False).alias("done"))
+    now = start.select(*keys, F.col("median").alias("location"), (F.col("mad") * MAD_TO_RMS).alias("scale"), F.lit(False).alias("done"))
     v = F.col(value).cast("double")
     for _ in range(iterations):
-        d = df.filter(finite(v)).join(now, keys)
+        d = attach(df.filter(finite(v)), now, keys)
         u2 = ((v - F.col("location")) / (c * F.col("scale"))) ** 2
         inside = (u2 <= 1.0) & (F.col("scale") > 0)
         w = (1 - u2) ** 2
@@ -143,7 +153,7 @@ def biweight(df: DataFrame, keys: list[str], value: str, c: float = 6.0, iterati
         scale = F.when(F.abs(F.col("_den")) > 1.0, F.sqrt(F.col("_n") * F.col("_num")) / F.abs(F.col("_den"))).otherwise(F.col("scale"))
         settled = F.abs(location / F.col("location") - 1.0) < tol
         settled = F.coalesce(settled, F.lit(True))
-        now = cut_lineage(sums).select(*keys, F.when(F.col("done"), F.col("location")).otherwise(location).alias("location"), F.when(F.col("done") | settled, F.col("scale")).otherwise(scale).alias("scale"), (F.col("done") | settled).alias("done"))
+        now = sums.select(*keys, F.when(F.col("done"), F.col("location")).otherwise(location).alias("location"), F.when(F.col("done") | settled, F.col("scale")).otherwise(scale).alias("scale"), (F.col("done") | settled).alias("done"))
     return now.drop("done")
 
 
@@ -162,9 +172,9 @@ def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def remove_outliers(df: DataFrame, keys: list[str], value: str, factor: float = 1.5, rounds: int = 3) -> DataFrame:
     """Rows inside Tukey's fences q1 - f·iqr .. q3 + f·iqr, fences being set again ``rounds`` times or until nothing falls out."""
     for _ in range(rounds):
-        q = cut_lineage(box_stats(df, keys, value).select(*keys, F.col("q1").alias("_q1"), F.col("q3").alias("_q3")))
+        q = box_stats(df, keys, value).select(*keys, F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
         reach = (F.col("_q3") - F.col("_q1")) * factor
-        df = df.join(q, keys).filter(F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)).drop("_q1", "_q3")
+        df = attach(df, q, keys).filter(F.col(value).between(F.col("_q1") - reach, F.col("_q3") + reach)).drop("_q1", "_q3")
     return df
 
 
