@@ -13,13 +13,36 @@ from pelorus.plans.runtime import cut_lineage
 PIXEL = image.PIXEL
 
 
-def label_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _least_reachable(batches):
+    """Labels of a small graph in one task: hook larger labels on smaller ones and halve paths until nothing moves."""
+    parts = list(batches)
+    if not parts:
+        return
+    pdf = pd.concat(parts)
+    nodes, index = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+    x, y, label = index[: len(pdf)], index[len(pdf) :], np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        for end in (x, y):
+            np.minimum.at(label, label[end], low)
+            np.minimum.at(label, end, low)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+
+
+def label_components(edges: DataFrame, rounds: int = 60, bounded: int = 200_000) -> DataFrame:
     """node, component of every node of edges (a, b: long): least node reachable, by hooking and pointer jumping.
 
-    Each round a node takes the least label of its neighbours and then its label's own label, so paths halve;
-    the rounds stop when no label changes. Nodes of null or self edges are no nodes.
+    Up to ``bounded`` edges are labelled in one task. Beyond that, each round a node takes the least label of its
+    neighbours and then its label's own label, so paths halve; the rounds stop when no label changes. Nodes of null
+    or self edges are no nodes.
     """
-    e = edges.filter("a is not null and b is not null and a <> b").select("a", "b").distinct()
+    e = cut_lineage(edges.filter("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
+    if e.limit(bounded + 1).count() <= bounded:
+        return e.coalesce(1).mapInPandas(_least_reachable, "node long, component long")
     both = cut_lineage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     now = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node")
     for _ in range(rounds):

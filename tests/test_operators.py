@@ -91,8 +91,10 @@ def test_matches_and_cliques(spark):
 
 def test_label_components_on_a_chain(spark):
     d = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (None, 1)], "a long, b long")
-    got = {r["node"]: r["component"] for r in blobs.label_components(d).collect()}
-    assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+    for bounded in (0, 1000):
+        got = {r["node"]: r["component"] for r in blobs.label_components(d, bounded=bounded).collect()}
+        assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+    assert blobs.label_components(d.limit(0)).count() == 0
 
 
 def test_fits_round_trip(spark, tmp_path):
