@@ -249,8 +249,10 @@ def graph_components(spark, sf_dir):
 _NATIONS = "SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45"
 
 
-def _nation_edges(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+def _nation_edges(spark, sf_dir, least: float | None = None):
+    """Nations of customer and supplier that a line links; with ``least`` only by lines of a larger quantity."""
+    li = table(spark, sf_dir, "lineitem")
+    li = li if least is None else li.filter(F.col("l_quantity") > least)
     d = li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return d.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
 
@@ -258,7 +260,13 @@ def _nation_edges(spark, sf_dir):
 @query(f"""WITH n AS ({_NATIONS}), e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM n WHERE a <> b AND (a + b) % 3 = 0)
 SELECT [x.a, x.b, y.b] AS members FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b""")
 def clique_triples(spark, sf_dir):
-    return match.cliques(_nation_edges(spark, sf_dir).filter("(a + b) % 3 = 0"), 3)
+    return match.cliques(_nation_edges(spark, sf_dir, 45).filter("(a + b) % 3 = 0"), 3)
+
+
+@query()
+def clique_triples_all(spark, sf_dir):
+    """The triples of all nations, linked by any line."""
+    return match.cliques(_nation_edges(spark, sf_dir), 3)
 
 
 def _rank_sql(rounds: int) -> str:
@@ -270,7 +278,7 @@ def _rank_sql(rounds: int) -> str:
 
 @query(_rank_sql(4))
 def page_rank(spark, sf_dir):
-    return rounded(segment.page_rank(_nation_edges(spark, sf_dir).select(F.col("a"), F.col("b")), tol=0.0, rounds=4), 5)
+    return rounded(segment.page_rank(_nation_edges(spark, sf_dir, 45).select(F.col("a"), F.col("b")), tol=0.0, rounds=4), 5)
 
 
 @query(f"WITH {_CAT}, r AS (SELECT c_mktsegment, id, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, id) AS rank FROM c) SELECT c_mktsegment, id, c_acctbal, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
