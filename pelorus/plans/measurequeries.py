@@ -60,6 +60,13 @@ def local_background(spark, sf_dir):
     return rounded(residual.local_background(raster(spark, sf_dir), s, 2))
 
 
+@query()
+def local_background_all(spark, sf_dir):
+    """Every supplier is a source of its own; the pixels of all of them are masked."""
+    s = _sources(spark, sf_dir).select("image_id", F.col("x").cast("long").alias("ix"), F.col("y").cast("long").alias("iy"), F.col("id").alias("blob"))
+    return rounded(residual.local_background(raster(spark, sf_dir), s, 2))
+
+
 @query("SELECT 'C' || CAST(j * 5 + i AS VARCHAR) AS name, 'circle' AS shape, 10.0 + i * 2.0 AS cx, -5.0 + j * 2.5 AS cy, 0.5 AS r FROM range(5) a(i), range(5) b(j)")
 def circle_grid(spark, sf_dir):
     return residual.circle_grid(spark, 10.0, 18.0, 2.0, -5.0, 5.0, 2.5, 0.5)

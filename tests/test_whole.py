@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from pelorus.plans import linkqueries
+from pelorus.plans import linkqueries, measurequeries
 
 
 @pytest.fixture()
@@ -23,3 +23,17 @@ def test_triples_of_all_links(spark, shop):
     linked = {frozenset(e) for e in shop[1]}
     expected = [list(t) for t in combinations(range(6), 3) if all(frozenset(e) in linked for e in combinations(t, 2))]
     assert sorted(r["members"] for r in linkqueries.clique_triples_all(spark, shop[0]).collect()) == expected == [[0, 1, 2], [1, 2, 3]]
+
+
+def test_background_of_all_sources(spark, tmp_path):
+    chance = np.random.default_rng(5)
+    rows = [("A", x, y, float(chance.integers(1, 50))) for x in range(64) for y in range(64) if chance.random() < 0.8]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 41).selectExpr("id as s_suppkey", "1.0D as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    at = {k: (k * 37 % 64, k * 11 % 64) for k in range(1, 41)}
+    expected = {}
+    for k, (x, y) in at.items():
+        v = [q for _, i, j, q in rows if abs(i - x) <= 2 and abs(j - y) <= 2 and (i, j) not in at.values()]
+        expected[k] = (len(v), np.median(v), np.median(np.abs(v - np.median(v))) * 1.4826)
+    got = {r["blob"]: (r["n"], r["bkg"], r["rms"]) for r in measurequeries.local_background_all(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(expected) and all(got[k] == pytest.approx(expected[k], abs=1e-3) for k in got)
