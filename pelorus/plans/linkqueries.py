@@ -246,6 +246,13 @@ def graph_components(spark, sf_dir):
     return blobs.label_components(c)
 
 
+@query()
+def graph_components_all(spark, sf_dir):
+    """The components of all customers."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") + 1000000).alias("b"))
+    return blobs.label_components(c)
+
+
 _NATIONS = "SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45"
 
 
@@ -281,6 +288,12 @@ def page_rank(spark, sf_dir):
     return rounded(segment.page_rank(_nation_edges(spark, sf_dir, 45).select(F.col("a"), F.col("b")), tol=0.0, rounds=4), 5)
 
 
+@query()
+def page_rank_all(spark, sf_dir):
+    """The ranks of the nations over the links of all lines, until they stay."""
+    return rounded(segment.page_rank(_nation_edges(spark, sf_dir)), 5)
+
+
 @query(f"WITH {_CAT}, r AS (SELECT c_mktsegment, id, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, id) AS rank FROM c) SELECT c_mktsegment, id, c_acctbal, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def top_n_per_group(spark, sf_dir):
     return match.first_per_group(customers(spark, sf_dir), ["c_mktsegment"], [F.desc("c_acctbal"), "id"], 5).select("c_mktsegment", "id", "c_acctbal", "rank")

@@ -25,6 +25,24 @@ def test_triples_of_all_links(spark, shop):
     assert sorted(r["members"] for r in linkqueries.clique_triples_all(spark, shop[0]).collect()) == expected == [[0, 1, 2], [1, 2, 3]]
 
 
+def test_components_of_all_customers(spark, shop):
+    # balances of 0 to 50: each nation and its customer
+    got = {r["node"]: r["component"] for r in linkqueries.graph_components_all(spark, shop[0]).collect()}
+    assert got == {n: k for k in range(6) for n in (k, 1_000_000 + k)}
+
+
+def test_rank_over_all_links(spark, shop):
+    edges, r = set(shop[1]), np.full(6, 6**-0.5)
+    m = np.zeros((6, 6))
+    for a, b in edges:
+        m[b, a] = 1 / sum(x == a for x, _ in edges)
+    for _ in range(200):
+        r = 0.85 * m @ r + 0.15 / 6 * r.sum()
+        r /= np.linalg.norm(r)
+    got = {x["node"]: x["rank"] for x in linkqueries.page_rank_all(spark, shop[0]).collect()}
+    assert [got[k] for k in range(6)] == pytest.approx(r, abs=1e-3)
+
+
 def test_background_of_all_sources(spark, tmp_path):
     chance = np.random.default_rng(5)
     rows = [("A", x, y, float(chance.integers(1, 50))) for x in range(64) for y in range(64) if chance.random() < 0.8]
