@@ -177,23 +177,50 @@ def optimal_threshold(otsu: DataFrame, valley: DataFrame, median: DataFrame, fac
     return d.select(F.coalesce(F.greatest(F.least("o", "v"), F.col("m") * factor) + F.col("o") * 0 + F.col("v") * 0 + F.col("m") * 0, F.lit(float("inf"))).alias("threshold"))
 
 
-def _watershed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pixels of a tile in order of falling value; each joins the basin of its best labelled neighbour, a peak starts one."""
-    x, y, v = (pdf["ix"] - pdf["ix"].min()).to_numpy(), (pdf["iy"] - pdf["iy"].min()).to_numpy(), pdf["v"].to_numpy(float)
-    grid = np.full((x.max() + 3, y.max() + 3), -1)
-    basin = np.full(len(v), -1)
-    for i in np.lexsort((y, x, -v)):
-        near = grid[x[i] : x[i] + 3, y[i] : y[i] + 3].ravel()
-        near = near[near >= 0]
-        basin[i] = basin[near[np.argmax(v[near])]] if len(near) else i
-        grid[x[i] + 1, y[i] + 1] = i
-    return pdf[["image_id", "ix", "iy", "v"]].assign(basin=pdf["ix"].to_numpy()[basin] * 1_000_000_000 + pdf["iy"].to_numpy()[basin])
+def _ascend(tile: int):
+    """Of each pixel of one tile the place that its steepest path ends at: a peak, or the first pixel beyond the tile.
+
+    A step goes to the best of the pixels around and the pixel itself, the largest value first, then the least place.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ix, iy = pdf["ix"].to_numpy(), pdf["iy"].to_numpy()
+        own = (ix // tile == pdf["tx"].to_numpy()) & (iy // tile == pdf["ty"].to_numpy())
+        x, y, v = ix - ix.min(), iy - iy.min(), pdf["v"].to_numpy(float)
+        v = np.where(np.isnan(v), -np.inf, v)
+        order = np.lexsort((y, x, -v))
+        grid = np.full((x.max() + 3, y.max() + 3), len(v))
+        grid[x[order] + 1, y[order] + 1] = np.arange(len(v))
+        best = np.minimum.reduce([grid[x + i, y + j] for i in range(3) for j in range(3)])
+        end = np.where(own, order[best], np.arange(len(v)))
+        while not np.array_equal(end, end[end]):
+            end = end[end]
+        return pdf[["image_id", "ix", "iy", "v"]].assign(ex=ix[end], ey=iy[end])[own]
+
+    return run
 
 
 def watershed(pixels: DataFrame, floor: float, tile: int = 512) -> DataFrame:
-    """image_id, ix, iy, v, basin: pixels above ``floor`` with the peak that they rise to, named by its place; tile by tile."""
-    d = image.tiled(pixels.filter(F.col("v") > floor).select(*PIXEL, F.col("v").cast("double").alias("v")), tile, tile)
-    return d.groupBy("image_id", "tx", "ty").applyInPandas(_watershed, "image_id string, ix long, iy long, v double, basin long")
+    """image_id, ix, iy, v, basin: pixels above ``floor`` with the peak that they rise to, named by its place.
+
+    Paths are followed inside tiles that see one pixel beyond their border; a path that leaves its tile goes on from
+    the border pixel that it meets, and only border pixels are joined, their paths doubling until all end at peaks.
+    """
+    d = pixels.filter(F.col("v") > floor).select(*PIXEL, F.col("v").cast("double").alias("v"))
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / tile).cast("long"), F.floor((F.col(c) + 1) / tile).cast("long")))
+    seen = d.withColumn("tx", cells("ix")).withColumn("ty", cells("iy"))
+    local = cut_lineage(seen.groupBy("image_id", "tx", "ty").applyInPandas(_ascend(tile), "image_id string, ix long, iy long, v double, ex long, ey long"))
+    border = F.pmod("ix", F.lit(tile)).isin(0, tile - 1) | F.pmod("iy", F.lit(tile)).isin(0, tile - 1)
+    now = local.filter(border).select(*PIXEL, "ex", "ey")
+    while True:
+        ahead = now.select("image_id", F.col("ix").alias("ex"), F.col("iy").alias("ey"), F.col("ex").alias("fx"), F.col("ey").alias("fy"))
+        step = cut_lineage(now.join(ahead, ["image_id", "ex", "ey"], "left").select(*PIXEL, F.coalesce("fx", "ex").alias("ex"), F.coalesce("fy", "ey").alias("ey"), (F.coalesce("fx", "ex") != F.col("ex")).alias("mx"), (F.coalesce("fy", "ey") != F.col("ey")).alias("my")))
+        now = step.select(*PIXEL, "ex", "ey")
+        if step.filter("mx or my").isEmpty():
+            break
+    peak = now.select("image_id", F.col("ix").alias("bx"), F.col("iy").alias("by"), F.col("ex").alias("fx"), F.col("ey").alias("fy"))
+    d = local.withColumnRenamed("ex", "bx").withColumnRenamed("ey", "by").join(peak, ["image_id", "bx", "by"], "left")
+    return d.select(*PIXEL, "v", (F.coalesce("fx", "bx") * 1_000_000_000 + F.coalesce("fy", "by")).alias("basin"))
 
 
 def nested_blobs(mothers: DataFrame, inner: DataFrame, least_share: float = 0.0, largest_share: float = 0.5) -> DataFrame:

@@ -5,9 +5,14 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pelorus.operators import segment
 from pelorus.plans import linkqueries, measurequeries
 
 
+def image_of(spark, array):
+    return spark.createDataFrame([("a", int(x), int(y), float(v)) for (x, y), v in np.ndenumerate(array)], "image_id string, ix long, iy long, v double")
+
+
 @pytest.fixture()
 def shop(spark, tmp_path):
     """Few lines of small and large quantity between nations 0 to 5, written as tables."""
@@ -55,3 +60,17 @@ def test_background_of_all_sources(spark, tmp_path):
         expected[k] = (len(v), np.median(v), np.median(np.abs(v - np.median(v))) * 1.4826)
     got = {r["blob"]: (r["n"], r["bkg"], r["rms"]) for r in measurequeries.local_background_all(spark, str(tmp_path)).collect()}
     assert sorted(got) == sorted(expected) and all(got[k] == pytest.approx(expected[k], abs=1e-3) for k in got)
+
+
+def test_watershed_across_tiles(spark):
+    a = np.random.default_rng(1).integers(0, 40, (20, 20)).astype(float)
+    a[3] = np.arange(20) + 50  # a slope through three tiles
+    d = image_of(spark, a)
+
+    def peak(x, y):
+        best = min((-a[i, j], i, j) for i in range(max(x - 1, 0), min(x + 2, 20)) for j in range(max(y - 1, 0), min(y + 2, 20)))[1:]
+        return best if best == (x, y) else peak(*best)
+
+    for tile in (8, 512):
+        got = {(r["ix"], r["iy"]): divmod(r["basin"], 1_000_000_000) for r in segment.watershed(d, -1.0, tile).collect()}
+        assert got == {(x, y): peak(x, y) for x in range(20) for y in range(20)}
