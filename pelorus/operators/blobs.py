@@ -33,27 +33,30 @@ def _least_reachable(batches):
     yield pd.DataFrame({"node": nodes, "component": nodes[label]})
 
 
-def label_components(edges: DataFrame, rounds: int = 60, bounded: int = 200_000) -> DataFrame:
+def label_components(edges: DataFrame, rounds: int | None = None, bounded: int = 200_000) -> DataFrame:
     """node, component of every node of edges (a, b: long): least node reachable, by hooking and pointer jumping.
 
     Up to ``bounded`` edges are labelled in one task. Beyond that, each round a node takes the least label of its
-    neighbours and then its label's own label, so paths halve; the rounds stop when no label changes. Nodes of null
-    or self edges are no nodes.
+    neighbours and then its label's own label, so paths halve; the rounds stop when no label changes, and with ``rounds`` it is an error if
+    that takes more of them. Nodes of null or self edges are no nodes.
     """
     e = cut_lineage(edges.filter("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
     if e.limit(bounded + 1).count() <= bounded:
         return e.coalesce(1).mapInPandas(_least_reachable, "node long, component long")
     both = cut_lineage(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     now = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node")
-    for _ in range(rounds):
+    done = 0
+    while True:
         near = both.join(now.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(F.min("cb").alias("cb"))
         low = now.join(near, now["node"] == near["a"]).select("node", "c", F.least("c", "cb").alias("n"))
         jump = low.select(F.col("node").alias("n"), F.col("n").alias("nn"))
         new = cut_lineage(low.join(jump, "n", "left").select("node", F.col("c").alias("old"), F.coalesce("nn", "n").alias("c")))
         changed = new.filter("c <> old").limit(1).count()
-        now = new.select("node", "c")
+        now, done = new.select("node", "c"), done + 1
         if not changed:
             break
+        if done == rounds:
+            raise RuntimeError(f"label_components: labels still change after {rounds} rounds")
     return now.withColumnRenamed("c", "component")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,24 +65,66 @@ def local_background(pixels: DataFrame, blobs: DataFrame, margin: int, cell: int
     return near.join(m, "blob").groupBy("blob", "n", "bkg").agg((F.percentile(F.abs(F.col("v") - F.col("bkg")), 0.5) * stats.MAD_TO_RMS).alias("rms"))
 
 
-def reconstruct(pixels: DataFrame, marker: DataFrame, size: int = 3, tol: float = 1e-6, rounds: int = 200) -> DataFrame:
-    """image_id, ix, iy, m: morphological reconstruction: the marker is dilated under the image until it stays."""
+def _flood(tile: int, half: int):
+    """The reconstruction inside one tile, whose pixels see ``half`` pixels beyond its border: the highest pixel left passes its value on, under the image."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ix, iy = pdf["ix"].to_numpy(), pdf["iy"].to_numpy()
+        own = (ix // tile == pdf["tx"].to_numpy()) & (iy // tile == pdf["ty"].to_numpy())
+        x, y = ix - ix.min() + half, iy - iy.min() + half
+        shape = (x.max() + half + 1, y.max() + half + 1)
+        v, top = np.full(shape, -np.inf), np.full(shape, -np.inf)
+        v[x, y] = pdf["v"].to_numpy(float)
+        top[x, y] = np.where(own, pdf["_top"].to_numpy(float), -np.inf)  # pixels of other tiles give and don't take
+        around = [(i, j) for i in range(-half, half + 1) for j in range(-half, half + 1) if i or j]
+        gives = np.zeros(len(x), bool)
+        for i, j in around:
+            gives |= np.minimum(v[x, y], top[x + i, y + j]) > v[x + i, y + j]
+        heap = [(-v[p, q], p, q) for p, q in zip(x[gives].tolist(), y[gives].tolist())]
+        heapq.heapify(heap)
+        while heap:
+            low, p, q = heapq.heappop(heap)
+            if -low < v[p, q]:
+                continue
+            for i, j in around:
+                m = min(-low, top[p + i, q + j])
+                if m > v[p + i, q + j]:
+                    v[p + i, q + j] = m
+                    heapq.heappush(heap, (-m, p + i, q + j))
+        return pdf[["image_id", "ix", "iy", "_top"]].assign(old=pdf["v"], v=v[x, y])[own]
+
+    return run
+
+
+def reconstruct(pixels: DataFrame, marker: DataFrame, size: int = 3, tol: float = 0.0, rounds: int | None = None, tile: int = 512) -> DataFrame:
+    """image_id, ix, iy, m: morphological reconstruction: the marker is dilated under the image until it stays.
+
+    Tiles are flooded to the end on their own, then see their neighbours' borders, until nothing moves by more than
+    ``tol``; with ``rounds``, an error if that takes more of them.
+    """
+    half = size // 2
     base = cut_lineage(pixels.select(*PIXEL, F.col("v").cast("double").alias("_top")))
-    now = marker.select(*PIXEL, F.col("v").cast("double").alias("v"))
-    for _ in range(rounds):
-        grown = image.morphology(now, "dilate", size).join(now, PIXEL).join(base, PIXEL)
-        new = cut_lineage(grown.select(*PIXEL, F.col("v").alias("old"), F.least("m", "_top").alias("v")))
+    start = marker.select(*PIXEL, F.col("v").cast("double").alias("v"))
+    # one step as it is brings a marker that is above the image under it
+    now = cut_lineage(image.morphology(start, "dilate", size).join(base, PIXEL).select(*PIXEL, "_top", F.least("m", "_top").alias("v")))
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / tile).cast("long"), F.floor((F.col(c) + half) / tile).cast("long")))
+    done = 0
+    while True:
+        seen = now.withColumn("tx", cells("ix")).withColumn("ty", cells("iy"))
+        new = cut_lineage(seen.groupBy("image_id", "tx", "ty").applyInPandas(_flood(tile, half), "image_id string, ix long, iy long, _top double, old double, v double"))
         moved = new.agg(F.max(F.abs(F.col("v") - F.col("old")))).first()[0] or 0.0
-        now = new.select(*PIXEL, "v")
+        now, done = new.select(*PIXEL, "_top", "v"), done + 1
         if moved <= tol:
             break
-    return now.withColumnRenamed("v", "m")
+        if done == rounds:
+            raise RuntimeError(f"reconstruct: pixels still move after {rounds} rounds")
+    return now.select(*PIXEL, F.col("v").alias("m"))
 
 
-def h_domes(pixels: DataFrame, height: float, size: int = 3) -> DataFrame:
+def h_domes(pixels: DataFrame, height: float, size: int = 3, tile: int = 512) -> DataFrame:
     """image_id, ix, iy, dome: what rises above the reconstruction of the image less ``height``."""
     low = pixels.select(*PIXEL, (F.col("v") - height).alias("v"))
-    return reconstruct(pixels, low, size).join(pixels.select(*PIXEL, "v"), PIXEL).select(*PIXEL, (F.col("v") - F.col("m")).alias("dome"))
+    return reconstruct(pixels, low, size, tile=tile).join(pixels.select(*PIXEL, "v"), PIXEL).select(*PIXEL, (F.col("v") - F.col("m")).alias("dome"))
 
 
 def guided_filter(pixels: DataFrame, radius: int = 2, eps: float = 0.1) -> DataFrame:

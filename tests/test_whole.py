@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from pelorus.operators import segment
+from pelorus.operators import blobs, residual, segment
 from pelorus.plans import linkqueries, measurequeries
 
 
@@ -74,3 +74,32 @@ def test_watershed_across_tiles(spark):
     for tile in (8, 512):
         got = {(r["ix"], r["iy"]): divmod(r["basin"], 1_000_000_000) for r in segment.watershed(d, -1.0, tile).collect()}
         assert got == {(x, y): peak(x, y) for x in range(20) for y in range(20)}
+
+
+def test_domes_far_from_the_marker(spark):
+    a = np.zeros((3, 460))
+    a[1] = 5.0  # a filament: the marker reaches its far end after 459 steps
+    a[1, 0] = 9.0
+    expected = a - np.where(a == 5.0, 5.0, np.where(a == 9.0, 6.0, 0.0))
+    for tile in (100, 512):
+        dome = {(r["ix"], r["iy"]): r["dome"] for r in residual.h_domes(image_of(spark, a), 3.0, tile=tile).collect()}
+        assert dome == {k: v for k, v in np.ndenumerate(expected)}
+
+
+def test_domes_are_those_of_plain_dilation(spark):
+    a = np.random.default_rng(2).integers(0, 30, (18, 21)).astype(float)
+    m = a - 6
+    while True:
+        pad = np.pad(m, 1, constant_values=-np.inf)
+        new = np.minimum(np.max([pad[i : i + 18, j : j + 21] for i in range(3) for j in range(3)], axis=0), a)
+        if np.array_equal(new, m):
+            break
+        m = new
+    dome = {(r["ix"], r["iy"]): r["dome"] for r in residual.h_domes(image_of(spark, a), 6.0, tile=8).collect()}
+    assert dome == {k: v for k, v in np.ndenumerate(a - m)}
+
+
+def test_unfinished_labels_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        blobs.label_components(chain, rounds=2, bounded=1)
