@@ -120,14 +120,14 @@ def page_rank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-4, rounds
 
 
 def _chan_vese(rounds: int, smooth: float):
-    """Two-phase level set on one tile: pixels go with the nearer of the inside and outside means, a box filter keeps the border short."""
+    """Two-phase level set on an image of one tile: pixels go with the nearer of the inside and outside means, a box filter keeps the border short."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = (pdf["ix"] - pdf["ix"].min()).to_numpy(), (pdf["iy"] - pdf["iy"].min()).to_numpy()
         img = np.zeros((x.max() + 1, y.max() + 1))
         img[x, y] = pdf["v"].to_numpy(float)
         scale = img.std() or 1.0
-        # a checkerboard start reaches every part of the tile
+        # a checkerboard start reaches every part of the image
         phi = np.sin(np.pi / 5 * np.arange(img.shape[0]))[:, None] * np.sin(np.pi / 5 * np.arange(img.shape[1]))[None, :]
         for _ in range(rounds):
             inside = phi > 0
@@ -144,10 +144,109 @@ def _chan_vese(rounds: int, smooth: float):
     return run
 
 
+_SUMS = "n1 long, s1 double, n2 long, s2 double"
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+
+
+def _tile_state(img: np.ndarray, phi: np.ndarray) -> dict:
+    """The level set of a tile, its sums on either side, and its border pixels for each neighbour."""
+    inside = phi > 0
+    end = {-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}
+    edges = {f"e{k}": np.ascontiguousarray(phi[end[i], end[j]]).tobytes() for k, (i, j) in enumerate(_AROUND)}
+    return {"phi": phi.tobytes(), "n1": int(inside.sum()), "s1": float(img[inside].sum()), "n2": int((~inside).sum()), "s2": float(img[~inside].sum()), **edges}
+
+
+def _start_tile(tile: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        x0, y0 = int(r["x0"] + r["tx"] * tile), int(r["y0"] + r["ty"] * tile)
+        img = np.zeros((min(tile, int(r["x1"]) - x0 + 1), min(tile, int(r["y1"]) - y0 + 1)))
+        mask = np.zeros(img.shape, bool)
+        d = pdf[pdf["ix"].notna()]
+        x, y = d["ix"].to_numpy(int) - x0, d["iy"].to_numpy(int) - y0
+        img[x, y], mask[x, y] = d["v"].to_numpy(float), True
+        wave = lambda start, n: np.sin(np.pi / 5 * (np.arange(n) + start))
+        phi = wave(r["tx"] * tile, img.shape[0])[:, None] * wave(r["ty"] * tile, img.shape[1])[None, :]
+        return pd.DataFrame([{"image_id": r["image_id"], "tx": r["tx"], "ty": r["ty"], "x0": x0, "y0": y0, "w": img.shape[0], "h": img.shape[1], "img": img.tobytes(), "mask": mask.tobytes(), **_tile_state(img, phi)}])
+
+    return run
+
+
+def _move_tile(smooth: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        shape = (int(r["w"]), int(r["h"]))
+        img, phi = np.frombuffer(r["img"]).reshape(shape), np.frombuffer(r["phi"]).reshape(shape)
+        force = ((img - r["c2"]) ** 2 - (img - r["c1"]) ** 2) / r["scale"] ** 2
+        pad = np.pad(phi, 1, mode="edge")
+        at = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
+        # sides first; a corner beyond the image repeats the side that is there
+        for k, (i, j) in sorted(enumerate(_AROUND), key=lambda e: abs(e[1][0]) + abs(e[1][1])):
+            if r[f"h{k}"] is not None:
+                part = pad[at[i], at[j]]
+                pad[at[i], at[j]] = np.frombuffer(r[f"h{k}"]).reshape(part.shape)
+            elif i and j and r[f"h{_AROUND.index((i, 0))}"] is not None:
+                pad[at[i], at[j]] = pad[at[i], 1 if j < 0 else -2]
+            elif i and j and r[f"h{_AROUND.index((0, j))}"] is not None:
+                pad[at[i], at[j]] = pad[1 if i < 0 else -2, at[j]]
+        pad = np.tanh(pad)
+        mean = sum(pad[a : a + shape[0], b : b + shape[1]] for a in range(3) for b in range(3)) / 9
+        new = phi + 0.5 * (force + smooth * (mean - np.tanh(phi)))
+        return pd.DataFrame([{"image_id": r["image_id"], "tx": r["tx"], "ty": r["ty"], **_tile_state(img, new)}])
+
+    return run
+
+
+def _end_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    r = pdf.iloc[0]
+    shape = (int(r["w"]), int(r["h"]))
+    inside = np.frombuffer(r["phi"]).reshape(shape) > 0
+    if r["n1"] and r["n2"] and r["c1"] < r["c2"]:
+        inside = ~inside
+    x, y = np.nonzero(np.frombuffer(r["mask"], bool).reshape(shape))
+    return pd.DataFrame({"image_id": r["image_id"], "ix": x + int(r["x0"]), "iy": y + int(r["y0"]), "inside": inside[x, y]})
+
+
 def chan_vese(pixels: DataFrame, rounds: int = 100, smooth: float = 1.0, tile: int = 512) -> DataFrame:
-    """image_id, ix, iy, inside: the bright phase of a two-phase segmentation, tile by tile (the tile bounds the work of a task)."""
-    d = image.tiled(pixels.select(*PIXEL, F.col("v").cast("double").alias("v")), tile, tile)
-    return d.groupBy("image_id", "tx", "ty").applyInPandas(_chan_vese(rounds, smooth), "image_id string, ix long, iy long, inside boolean")
+    """image_id, ix, iy, inside: the bright phase of a two-phase segmentation of each image.
+
+    An image within one tile is done in one task. A larger one moves by rounds: the two means and the scale are the
+    image's, and tiles see one pixel beyond their border.
+    """
+    d = pixels.select(*PIXEL, F.col("v").cast("double").alias("v"))
+    ends = cut_lineage(d.groupBy("image_id").agg(*(f(c).alias(n) for f, c, n in ((F.min, "ix", "x0"), (F.max, "ix", "x1"), (F.min, "iy", "y0"), (F.max, "iy", "y1"))), F.count("v").alias("k"), F.avg("v").alias("m"), F.var_pop("v").alias("q")))
+    large = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= tile
+    kind = "image_id string, ix long, iy long, inside boolean"
+    # a few rows an image
+    small = d.join(F.broadcast(ends.filter(~large).select("image_id")), "image_id").groupBy("image_id").applyInPandas(_chan_vese(rounds, smooth), kind)
+    if ends.filter(large).isEmpty():
+        return small
+    # places without a pixel count as 0, as they do within one tile
+    area, mean = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1), F.col("m") * F.col("k") / F.col("area")
+    var = (F.col("q") * F.col("k") + F.col("k") * (F.col("m") - mean) ** 2 + (F.col("area") - F.col("k")) * mean**2) / F.col("area")
+    size = cut_lineage(ends.filter(large).withColumn("area", area).select("image_id", "x0", "x1", "y0", "y1", F.when(var > 0, F.sqrt(var)).otherwise(1.0).alias("scale")))
+    box = size.select("image_id", "x0", "x1", "y0", "y1")
+    cell = lambda c, lo: F.floor((F.col(c) - F.col(lo)) / tile).cast("long")
+    put = d.join(F.broadcast(box), "image_id").withColumns({"tx": cell("ix", "x0"), "ty": cell("iy", "y0")})
+    every = box.withColumn("tx", F.explode(F.sequence(F.lit(0).cast("long"), cell("x1", "x0")))).withColumn("ty", F.explode(F.sequence(F.lit(0).cast("long"), cell("y1", "y0"))))
+    keys, edges = ["image_id", "tx", "ty"], ", ".join(f"e{k} binary" for k in range(8))
+    moving = f"phi binary, {_SUMS}, {edges}"
+    first = cut_lineage(put.unionByName(every, allowMissingColumns=True).groupBy(*keys).applyInPandas(_start_tile(tile), f"image_id string, tx long, ty long, x0 long, y0 long, w long, h long, img binary, mask binary, {moving}"))
+    fixed, now = first.select(*keys, "x0", "y0", "w", "h", "img", "mask"), first.drop("x0", "y0", "w", "h", "img", "mask")
+
+    def means(state: DataFrame) -> DataFrame:
+        s = state.groupBy("image_id").agg(*(F.sum(c).alias(c) for c in ("n1", "s1", "n2", "s2")))
+        c = lambda k: F.when(F.col("n" + k) > 0, F.col("s" + k) / F.col("n" + k)).otherwise(0.0).alias("c" + k)
+        return F.broadcast(s.select("image_id", "n1", "n2", c("1"), c("2")).join(size.select("image_id", "scale"), "image_id"))
+
+    for _ in range(rounds):
+        sent = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(7 - k).alias("k"), F.col(f"e{k}").alias("e")) for k, (i, j) in enumerate(_AROUND))))
+        got = now.select(*keys, sent.alias("o")).select("image_id", (F.col("tx") + F.col("o.i")).alias("tx"), (F.col("ty") + F.col("o.j")).alias("ty"), "o.k", "o.e")
+        got = got.groupBy(*keys).agg(*(F.max(F.when(F.col("k") == k, F.col("e"))).alias(f"h{k}") for k in range(8)))
+        state = fixed.select(*keys, "w", "h", "img").join(now.select(*keys, "phi"), keys).join(got, keys, "left").join(means(now).drop("n1", "n2"), "image_id")
+        now = cut_lineage(state.groupBy(*keys).applyInPandas(_move_tile(smooth), f"image_id string, tx long, ty long, {moving}"))
+    last = fixed.join(now.select(*keys, "phi"), keys).join(means(now), "image_id")
+    return small.unionByName(last.groupBy(*keys).applyInPandas(_end_tile, kind))
 
 
 def multi_saliency(pixels: DataFrame, sizes: tuple[int, ...] = (8, 16), share: float = 0.5) -> DataFrame:

@@ -103,3 +103,11 @@ def test_unfinished_labels_are_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     with pytest.raises(RuntimeError):
         blobs.label_components(chain, rounds=2, bounded=1)
+
+
+def test_level_set_across_tiles(spark):
+    a = np.random.default_rng(4).normal(size=(19, 22))
+    a[2:8, 3:12] += 20.0  # the tiles beyond are plain background
+    d = image_of(spark, a).filter("not (ix = 15 and iy = 15)")
+    one, many = ({(r["ix"], r["iy"]): r["inside"] for r in segment.chan_vese(d, 8, tile=t).collect()} for t in (512, 8))
+    assert len(one) == 19 * 22 - 1 and one == many and one[4, 5] and not one[18, 21]
