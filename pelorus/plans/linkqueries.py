@@ -290,7 +290,7 @@ def page_rank(spark, sf_dir):
 
 @query()
 def page_rank_all(spark, sf_dir):
-    """The ranks of the nations over the links of all lines, until they stay."""
+    """The ranks of the nations over the links of all lines, to the step or rounds that the operator ends at."""
     return rounded(segment.page_rank(_nation_edges(spark, sf_dir)), 5)
 
 
