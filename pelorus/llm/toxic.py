@@ -1,14 +1,17 @@
 """Abusive, hateful or sexual passages: a linear-chain CRF over words in reading order.
 
-Labels are by document and some are wrong, so words are labelled first: a word weighs by how much commoner it
-is in documents labelled toxic, and in these the stretches of greatest total weight are the toxic words. A
-two-state CRF is fitted to them on a bounded sample; documents that contradict it are left out of a second
-fit. Forward-backward marginals of every word of every document give its score, its spans and the rates.
+Labels are by document and some are wrong, so the words that make a document toxic are hidden. They are learned by
+expectation and maximisation with the CRF itself: the start marks the stretches of words that are surely commoner in
+documents labelled toxic; then models fitted on some folds of a bounded sample say which words of the other folds
+are toxic and which labels are wrong, so no document vouches for itself. Forward-backward marginals of every word
+of every document give its spans and the mass of its best one, which a logistic function fitted on held-out folds turns
+into the score.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from itertools import chain
 
@@ -20,24 +23,19 @@ from pyspark.sql import functions as F
 from pelorus.llm.pages import BREAKS, PageBatch, fold, plain, tokens
 from pelorus.plans.runtime import table
 
-TRAIN_TOXIC, TRAIN_CLEAN = 1000, 4000  # labelled documents of each class that the model is fitted on, at most
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 8000  # labelled documents of each class that the model is fitted on, at most
 PLAIN_SHARE = 0.1  # share of the training sequences without any word of toxic stretches that is kept
 OFFSETS = (-2, -1, 0, 1, 2)
 WINDOW = 128  # words in a training sequence
 ROUNDS = 40
+PENALTY = 0.15  # of the squared weights
+FOLDS, TURNS = 2, 2  # folds that label each other, and how often
+COMMON = 0.05  # a word of more documents says nothing about which windows to learn from
 DROPPED = 0.25  # share of words hidden in copies, so that a passage with misread words is still known
 THRESHOLD = 0.5
 CACHE = 400_000
 PAD, RARE = 0, 1
 
-# fixed values: words that are abusive in most uses, a start where labels are few
-LEXICON = frozenset(
-    "bastard bitch brainless brothel carnal contemptible cretin disgusting fondled harlot halfwit idiot imbecile licked "
-    "loathsome maggots moron naked obscene parasite savages scoundrel scum slut snivelling stinking swine thighs undress "
-    "vermin whore worthless wretch breasts filth filthy rotten stupid leech cur lying bloody miserable ugly".split()
-)
-
-
 def word_of(raw: str) -> str:
     """The plain word of a token; stars inside stand for letters left out on purpose."""
     if "**" in raw.strip(".,;:!?\"'*"):
@@ -52,26 +50,27 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> t
     emit: (sequences, length) score of the toxic state against the clean one; trans: 2x2 log weights.
     """
     d, n = emit.shape
-    a0, a1 = np.zeros((n, d)), np.zeros((n, d))
-    e, m = emit.T, mask.T
-    a1[0] = e[0]
+    w, e, m = np.exp(trans), np.exp(np.clip(emit.T, -50, 50)), mask.T
+    f, scale = np.empty((n, 2, d)), np.ones((n, d))
+    scale[0] = 1.0 + e[0]
+    f[0, 0], f[0, 1] = 1.0 / scale[0], e[0] / scale[0]
     for t in range(1, n):
-        x0 = np.logaddexp(a0[t - 1] + trans[0, 0], a1[t - 1] + trans[1, 0])
-        x1 = np.logaddexp(a0[t - 1] + trans[0, 1], a1[t - 1] + trans[1, 1]) + e[t]
-        a0[t], a1[t] = np.where(m[t], x0, a0[t - 1]), np.where(m[t], x1, a1[t - 1])
-    z = np.logaddexp(a0[-1], a1[-1])
-    b0, b1 = np.zeros((n, d)), np.zeros((n, d))
-    pairs = np.zeros((2, 2))
-    for t in range(n - 2, -1, -1):
-        to0, to1 = b0[t + 1], b1[t + 1] + e[t + 1]
-        on = m[t + 1]
-        for i, a in ((0, a0[t]), (1, a1[t])):
-            for j, to in ((0, to0), (1, to1)):
-                pairs[i, j] += np.exp(np.minimum(a + trans[i, j] + to - z, 0.0))[on].sum()
-        b0[t] = np.where(on, np.logaddexp(trans[0, 0] + to0, trans[0, 1] + to1), b0[t + 1])
-        b1[t] = np.where(on, np.logaddexp(trans[1, 0] + to0, trans[1, 1] + to1), b1[t + 1])
-    p = np.exp(np.minimum(a1 + b1 - z, 0.0)).T * mask
-    return p, pairs, float(z.sum())
+        x0 = f[t - 1, 0] * w[0, 0] + f[t - 1, 1] * w[1, 0]
+        x1 = (f[t - 1, 0] * w[0, 1] + f[t - 1, 1] * w[1, 1]) * e[t]
+        scale[t] = np.where(m[t], x0 + x1, 1.0)
+        f[t, 0], f[t, 1] = np.where(m[t], x0 / scale[t], f[t - 1, 0]), np.where(m[t], x1 / scale[t], f[t - 1, 1])
+    out, pairs = np.empty((n, d)), np.zeros((2, 2))
+    b0, b1 = np.ones(d), np.ones(d)
+    for t in range(n - 1, -1, -1):
+        out[t] = f[t, 1] * b1
+        if t:
+            # what follows the step into t, on the scale of the forward pass
+            y0, y1 = np.where(m[t], b0 / scale[t], 0.0), np.where(m[t], b1 * e[t] / scale[t], 0.0)
+            for j, y in ((0, y0), (1, y1)):
+                for i in (0, 1):
+                    pairs[i, j] += w[i, j] * np.dot(f[t - 1, i], y)
+            b0, b1 = np.where(m[t], w[0, 0] * y0 + w[0, 1] * y1, b0), np.where(m[t], w[1, 0] * y0 + w[1, 1] * y1, b1)
+    return out.T * mask, pairs, float(np.log(scale).sum())
 
 
 def marginals(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -122,6 +121,7 @@ class Model:
         k = len(OFFSETS)
         self.by_word, self.by_fold = np.zeros((k, len(self.words) + 2)), np.zeros((k, len(self.folds) + 2))
         self.bias, self.trans = -4.0, np.array([[0.0, -3.0], [-1.0, 1.0]])
+        self.calibration = Calibration()
         self.cache: dict[str, int] = {}
 
     def index(self, word: str) -> int:
@@ -163,7 +163,7 @@ class Model:
             for k, o in enumerate(OFFSETS):
                 gw[k] = np.bincount(wide_w[reach + o : reach + o + n], miss, gw.shape[1])
                 gf[k] = np.bincount(wide_f[reach + o : reach + o + n], miss, gf.shape[1])
-            grads = [gw - 0.05 * self.by_word, gf - 0.05 * self.by_fold, np.array([miss.sum()]), seen - pairs]
+            grads = [gw - PENALTY * self.by_word, gf - PENALTY * self.by_fold, np.array([miss.sum()]), seen - pairs]
             for q, g, a, b in zip(params, grads, first, second):
                 a *= 0.9
                 a += 0.1 * g
@@ -219,57 +219,111 @@ def spans(p: np.ndarray, least: float = 0.5) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), float(p[a:b].sum())) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def document_score(p: np.ndarray) -> float:
-    """How likely some passage is toxic: the best span's mass, of which three and a half words are enough."""
-    best = max((m for *_, m in spans(p)), default=float(p.max()) if len(p) else 0.0)
-    return min(1.0, best / 7.0)
+def best_mass(p: np.ndarray) -> float:
+    """The expected number of toxic words in the best span of a document."""
+    return max((m for *_, m in spans(p)), default=float(p.max()) if len(p) else 0.0)
 
 
-def word_labels(docs: list[list[str]], toxic: list[int]) -> tuple[list[np.ndarray], set[str]]:
-    """Word labels from document labels, and the words that speak for toxicity: in toxic documents, the stretches of
-    words that clean documents lack."""
-    plain_of: dict[str, str] = {w: word_of(w) for w in set(chain.from_iterable(docs))}
-    words = [[plain_of[w] for w in d] for d in docs]
+def first_labels(words: list[list[str]], toxic: np.ndarray, least: float = 5.0) -> tuple[list[np.ndarray], set[str]]:
+    """A start for the word labels: in documents labelled toxic, the stretches of words that are surely commoner there;
+    and the words that speak for toxicity in them."""
     inside, outside = Counter(), Counter()
     for ws, y in zip(words, toxic):
         (inside if y else outside).update(set(ws))
-    n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+    n1, n0 = (toxic > 0).sum() + 1.0, (toxic <= 0).sum() + 1.0
 
     def weight(w: str) -> float:
-        odds = np.log((inside[w] + 0.3) / (n1 + 1.0)) - np.log((outside[w] + 1.0) / (n0 + 1.0))
-        # a word of one document proves nothing
-        trust = min(1.0, inside[w] / 4.0)
-        return float(np.clip(odds * trust, -1.0, 4.0)) - 0.6 + (2.0 if w in LEXICON else 0.0)
+        a, b = inside[w] + 0.5, outside[w] + 0.5
+        # two standard errors below the log odds: a word of a few documents proves nothing
+        return float(np.clip(np.log(a / n1) - np.log(b / n0) - 2.0 * np.sqrt(1 / a + 1 / b), -1.0, 4.0)) - 0.6
 
     cache = {w: weight(w) for w in inside}
-    labels = [stretches(np.array([cache[w] for w in ws]), 5.0) if y else np.zeros(len(ws), np.int8) for ws, y in zip(words, toxic)]
-    hot = {w for ws, y in zip(words, labels) for w, t in zip(ws, y) if t and cache[w] > 0.5} | LEXICON
-    return labels, hot
+    labels = [stretches(np.array([cache[w] for w in ws]), least) if y else np.zeros(len(ws), np.int8) for ws, y in zip(words, toxic)]
+    return labels, {w for ws, y in zip(words, labels) for w, t in zip(ws, y) if t and cache[w] > 0.5}
+
+
+class Calibration:
+    """P(toxic) as a logistic function of log(1 + mass), fitted to labels of which some are wrong either way."""
+
+    def __init__(self):
+        self.slope, self.cut, self.wrong = 4.0, float(np.log1p(3.5)), (0.02, 0.02)  # used as they are without labels
+
+    def score(self, mass: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * (np.log1p(mass) - self.cut), -30, 30)))
+
+    def truth(self, mass: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """P(toxic) of labelled documents."""
+        up, down = self.wrong  # clean ones labelled toxic, toxic ones labelled clean
+        s = self.score(mass)
+        yes = s * np.where(label > 0, 1 - down, down)
+        no = (1 - s) * np.where(label > 0, up, 1 - up)
+        return yes / (yes + no)
+
+    def fit(self, mass: np.ndarray, label: np.ndarray) -> "Calibration":
+        x = np.log1p(mass)
+        w = np.array([-self.slope * self.cut, self.slope])
+        design, prior = np.stack([np.ones_like(x), x], 1), w.copy()
+        for _ in range(30):
+            r = self.truth(mass, label)
+            self.wrong = tuple(float(np.clip((v + 0.2) / (n + 10.0), 1e-4, 0.2)) for v, n in (((label * (1 - r)).sum(), (1 - r).sum()), (((1 - label) * r).sum(), r.sum())))
+            for _ in range(3):
+                mu = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+                hess = (design * (mu * (1 - mu))[:, None]).T @ design + np.eye(2)
+                w = w + np.clip(np.linalg.solve(hess, design.T @ (r - mu) - (w - prior)), -2, 2)
+            self.slope = float(max(w[1], 0.5))
+            self.cut = float(-w[0] / self.slope)
+        return self
 
 
 def train(docs: list[list[str]], toxic: list[int]) -> Model:
-    """Fit, leave out documents that the fit contradicts, and fit again."""
-    labels, hot = word_labels(docs, toxic)
-    counts = Counter(chain.from_iterable({word_of(w) for w in set(d)} for d in docs))
-    model = Model(sorted(w for w, c in counts.items() if w and (c > 2 or w in hot)))
-    for w, i in model.words.items():
-        if w in LEXICON:
-            model.by_word[OFFSETS.index(0), i] = 1.0
+    """The model of the sample, with its calibration; documents that contradict the models of other folds are left out."""
+    plain_of = {w: word_of(w) for w in set(chain.from_iterable(docs))}
+    words = [[plain_of[w] for w in d] for d in docs]
+    label = np.array(toxic, float)
+    counts = Counter(chain.from_iterable(map(set, words)))
+    vocabulary = sorted(w for w, c in counts.items() if w and c > 2)
+    labels, hot = first_labels(words, label)
+    model = Model(vocabulary)
     if not any(y.any() for y in labels):
         return model
     packed = model.pack(docs)
-    telling = np.array([i for w, i in model.words.items() if w in hot], np.int64)
-    # a toxic label without a stretch is a wrong one, or shows words that nothing vouches for
-    kept = [i for i, (y, t) in enumerate(zip(labels, toxic)) if y.any() or not t]
-    model.fit([packed[i] for i in kept], [labels[i] for i in kept], telling, ROUNDS // 2)
-    found = model.tag(packed)
-    kept = [i for i in kept if toxic[i] or document_score(found[i]) < THRESHOLD]
-    # copies with words hidden: of every toxic document, and of as many clean ones
-    chance, bad = np.random.default_rng(7), [i for i in kept if toxic[i]]
-    copied = bad + [i for i in kept if not toxic[i]][: len(bad)]
+    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in range(len(docs))])
+    # a label without a stretch is a wrong one, or shows words that nothing vouches for
+    kept = np.array([y.any() or not t for y, t in zip(labels, toxic)])
+    for turn in range(TURNS + 1):
+        telling = np.array([i for w, i in model.words.items() if w in hot], np.int64)
+        if turn == TURNS:
+            model.fit(*_augmented(packed, labels, kept), telling)
+            return model
+        mass, found = np.zeros(len(docs)), [None] * len(docs)
+        for k in range(FOLDS):
+            part = Model(vocabulary)
+            part.fit(*_augmented(packed, labels, kept & (fold != k)), telling)
+            held = np.flatnonzero(fold == k)
+            for i, p in zip(held, part.tag([packed[i] for i in held])):
+                found[i], mass[i] = p, best_mass(p)
+        model.calibration = Calibration().fit(mass, label)
+        sure = model.calibration.truth(mass, label)
+        labels = [(p > 0.5).astype(np.int8) if r >= 0.5 else np.zeros(len(p), np.int8) for p, r in zip(found, sure)]
+        kept = (sure >= 0.5) | (label == 0)
+        hot |= {w for ws, y in zip(words, labels) if y.any() for w in np.array(ws)[y > 0] if counts[w] < COMMON * len(docs)}
+        if turn + 1 < TURNS:
+            # toxic labels that no fold explains yet: what is commoner in them than in clean documents
+            rest = np.flatnonzero(~kept | (label == 0))
+            more, words_of = first_labels([words[i] for i in rest], label[rest], 4.0)
+            hot |= words_of
+            for i, y in zip(rest, more):
+                if y.any():
+                    labels[i], kept[i] = y, True
+
+
+def _augmented(packed: list[np.ndarray], labels: list[np.ndarray], kept: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The kept documents, and copies with words hidden: of every toxic document, and of as many clean ones."""
+    chance, all_ = np.random.default_rng(7), np.flatnonzero(kept)
+    bad = [i for i in all_ if labels[i].any()]
+    copied = bad + [i for i in all_ if not labels[i].any()][: len(bad)]
     hidden = [np.where(chance.random(len(packed[i])) < DROPPED, (RARE << 32) | RARE, packed[i]) for i in copied]
-    model.fit([packed[i] for i in kept] + hidden, [labels[i] for i in kept + copied], telling)
-    return model
+    return [packed[i] for i in all_] + hidden, [labels[i] for i in all_] + [labels[i] for i in copied]
 
 
 PAGE = ("text", "page_lines", "page_w", "n_columns")
@@ -336,7 +390,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN
     """doc_id, source, score (0 to 1), spans (code-point offsets of toxic words) of every document.
 
     docs: doc_id, source, text, page_lines, page_w, n_columns; labels: doc_id, toxic. Null and blank texts score 0;
-    repeated rows are each scored; without usable labels only the lexicon's weights speak. The model is fitted on
+    repeated rows are each scored; without usable labels nothing is toxic. The model is fitted on
     a bounded sample of labelled documents (``train_toxic`` and ``train_clean``); every document is read whole. No shuffle.
     """
     model = train(*labelled_sample(docs, labels, train_toxic, train_clean))
@@ -351,7 +405,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN
                 batch = big.slice(at, 500)
                 page = PageBatch(*(batch.column(c) for c in range(2, 6)))
                 found = tagger.tag(tagger.pack([tokens(page.flowing(i)) for i in range(len(page.texts))]))
-                scores = [document_score(p) for p in found]
+                scores = tagger.calibration.score(np.array([best_mass(p) for p in found])).tolist()
                 marks = [[{"char_from": a, "char_to": b} for a, b in char_spans(page, i, spans(p))] if s >= THRESHOLD else [] for i, (p, s) in enumerate(zip(found, scores))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(marks, pa.list_(pa.struct([("char_from", pa.int32()), ("char_to", pa.int32())])))],
@@ -371,6 +425,10 @@ def p10_found(spark, sf_dir):
 
 def p10_rates(spark, sf_dir):
     """Documents, toxic documents and rate of every source."""
-    scored = p10_scores(spark, sf_dir)
+    return source_rates(p10_scores(spark, sf_dir))
+
+
+def source_rates(scored: DataFrame) -> DataFrame:
+    """source (null is a source of its own), docs, toxic_docs and rate."""
     toxic = F.sum((F.col("score") >= THRESHOLD).cast("long"))
     return scored.groupBy("source").agg(F.count("*").alias("docs"), toxic.alias("toxic_docs"), (toxic / F.count("*")).alias("rate"))

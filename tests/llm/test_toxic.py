@@ -58,3 +58,21 @@ def test_held_out_documents_offsets_and_edges(spark):
             marked = " ".join(texts[r["doc_id"]][s["char_from"] : s["char_to"]] for s in r["spans"])
             assert any(len(set(marked.split()) & set(b.split())) >= 3 for b in BAD)
     assert X.score_documents(d.drop("score").limit(0), y.limit(0)).count() == 0
+    # without labels nothing is toxic
+    assert X.score_documents(d.drop("score"), y.limit(0)).filter(f"score >= {X.THRESHOLD}").count() == 0
+
+
+def test_wrong_labels_are_told_from_right_ones():
+    chance = np.random.default_rng(4)
+    mass = np.concatenate([chance.uniform(0, 0.5, 900), chance.uniform(8, 14, 100)])
+    truth = np.arange(1000) >= 900
+    label = np.where(chance.random(1000) < 0.05, ~truth, truth).astype(float)
+    c = X.Calibration().fit(mass, label)
+    assert ((c.score(mass) >= 0.5) == truth).all() and ((c.truth(mass, label) >= 0.5) == truth).all()
+    assert all(0.02 < w < 0.1 for w in c.wrong)
+
+
+def test_rates_by_source(spark):
+    scored = spark.createDataFrame([(1, "a", 0.9), (2, "a", 0.1), (3, None, 0.2), (3, None, 0.5)], "doc_id long, source string, score double")
+    assert {(r["source"], r["docs"], r["toxic_docs"], r["rate"]) for r in X.source_rates(scored).collect()} == {("a", 2, 1, 0.5), (None, 2, 1, 0.5)}
+    assert X.source_rates(scored.limit(0)).count() == 0
