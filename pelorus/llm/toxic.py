@@ -405,7 +405,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN
                 batch = big.slice(at, 500)
                 page = PageBatch(*(batch.column(c) for c in range(2, 6)))
                 found = tagger.tag(tagger.pack([tokens(page.flowing(i)) for i in range(len(page.texts))]))
-                scores = tagger.calibration.score(np.array([best_mass(p) for p in found])).tolist()
+                scores = [float(tagger.calibration.score(best_mass(p))) if len(p) else 0.0 for p in found]
                 marks = [[{"char_from": a, "char_to": b} for a, b in char_spans(page, i, spans(p))] if s >= THRESHOLD else [] for i, (p, s) in enumerate(zip(found, scores))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(marks, pa.list_(pa.struct([("char_from", pa.int32()), ("char_to", pa.int32())])))],
