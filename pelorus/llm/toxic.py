@@ -346,7 +346,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN
     pages = docs.select("doc_id", *PAGE[:2], *(F.col(c).cast("double").alias(c) for c in PAGE[2:]))
     rows = pages.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", *PAGE)  # bounded by the two limits
     got = sorted((r["doc_id"], r["toxic"], r["flow"]) for r in rows.mapInArrow(_flows, "doc_id long, toxic int, flow string").collect())
-    return [tokens(f) for *_, f in got], [int(t) for _, t, _ in got]
+    # one object for each distinct word: the sample's words would else take hundreds of megabytes on the driver
+    one: dict[str, str] = {}
+    return [[one.setdefault(w, w) for w in tokens(f)] for *_, f in got], [int(t) for _, t, _ in got]
 
 
 _WORD = re.compile(r"(?:(?:[^\W\d_] ){3,}[^\W\d_](?=[\s.,;:!?]|\Z))|\S+")
