@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pelorus.llm.leakage import leaks
 
 WORDS = "amber basalt canoe desert engine forest glacier harbour island jungle kettle lantern meadow naturalist ocean pigment quarry river sapling terrace umbrella valley weaver yonder zephyr carried counted folded gathered polished".split()
@@ -40,3 +42,28 @@ def test_runs_damage_columns_and_decoys(spark):
     got = sorted((r["doc_id"], r["item_id"]) for r in leaks(d, i).collect())
     assert got == [(1, 1), (1, 1), (2, 2), (3, 3), (6, 5), (9, 1)]
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
+
+
+def test_changed_names_and_numbers_are_found_and_marked(spark):
+    item = "The mayor of Tarbury paid 14 shillings for three geese at Elmstow, and the clerk of Tarbury counted 250 bushels before the bridge at Elmstow was opened by Captain Gorse in the presence of many friends."
+    other = item.replace("Tarbury", "Quenwick").replace("Elmstow", "Dalport").replace("Gorse", "Penhale").replace("14", "9").replace("250", "37")
+    mixed = item.replace("Tarbury", "Quenwick", 1).replace("Elmstow", "Dalport", 1).replace("Tarbury", "Dalport").replace("Elmstow", "Quenwick").replace("14", "9").replace("250", "9").replace("Gorse", "Penhale")
+    noise = "On Monday a farmer sold his hay at Norwick. "
+    rows = [(1, noise + other + " " + noise, [], None, None, "x"), (2, noise + item, [], None, None, "x"), (3, noise + mixed, [], None, None, "x"), (4, noise * 9, [], None, None, "x")]
+    d, i = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in leaks(d, i).collect()}
+    assert {k: r["kind"] for k, r in got.items()} == {1: "reparameterised", 2: "verbatim"}
+    # the two units and the captain's title stay
+    assert got[1]["slots"] == 10 and got[1]["slots_agree"] == 3 and got[2]["slots"] == got[2]["slots_agree"]
+
+
+def test_dense_stretch_of_a_thin_run_and_longest_common_subsequence():
+    from pelorus.llm.leakage import densest, matched
+
+    hits = [i for i in range(60) if i < 25 or i % 3 == 0]
+    first, end = densest(60, hits, 20)
+    assert first == 0 and end >= 25 and sum(h < end for h in hits) >= 0.87 * end
+    assert densest(40, list(range(0, 40, 2)), 20) == (0, 0)
+    a, b = np.array([1, 2, 3, 0, 4, 5]), np.array([9, 1, 3, 0, 5, 4])
+    got = matched(a, b)
+    assert len(got) == 3 and all(a[i] == b[j] > 0 for i, j in got) and got == sorted(got)
