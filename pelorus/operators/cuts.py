@@ -3,7 +3,7 @@
 A line is ``name T|F op AND|OR {v1,v2,...} [{w1,w2,...}]`` with op one of == != <> >< >= <= -. A disabled cut
 passes; each value (or interval) gives a boolean, joined by OR or AND; bounds are inclusive, reversed bounds pass
 at v <= low or v >= high; thresholds are cast to the type of the operand. Lines starting with # * / or a blank are
-skipped, and names that aren't registered pass with a warning.
+skipped. An enabled cut whose name is neither registered nor a column is an error, or passes with a warning if asked.
 """
 
 from __future__ import annotations
@@ -66,13 +66,18 @@ def passes(cut: Cut, value: Column, kind: str) -> Column:
     return F.coalesce(reduce(join, tests), F.lit(False)) if tests else F.lit(True)
 
 
-#: cut name -> (operand, its type) over a flat catalogue; with_fit cuts pass where there is no fit
+#: cut name -> (operand, its type) over a flat catalogue; a ratio with 0 below is null, which passes no cut
 Operand = tuple[Callable[[], Column], str]
-_beams = lambda: F.col("npix") / F.col("beam_area")
-_red = lambda: F.col("chi2") / F.col("ndf")
+_beams = lambda: F.try_divide(F.col("npix").cast("double"), F.col("beam_area"))
+_red = lambda: F.try_divide(F.col("chi2"), F.col("ndf"))
 _no_beam = lambda: F.coalesce(F.col("beam_area"), F.lit(0.0)) <= 0
 
 
+def _snr(value: Column) -> Column:
+    """A value over the mean noise of the island's pixels."""
+    return F.try_divide(value, F.try_divide(F.col("rms_sum"), F.col("npix").cast("double")))
+
+
 def _extended() -> Column:
     loose = ~F.col("has_fit") | (_red() > 10)
     return _no_beam() | (F.col("n_components") > 3) | (_beams() > 20) | ((_beams() > 10) & loose)
@@ -86,28 +91,33 @@ def _plain(column: str, kind: str = "double") -> Operand:
     return (lambda: F.col(column)), kind
 
 
+# fixed values: the names of the registered cuts
 ISLAND: dict[str, Operand] = {
     "nPixels": _plain("npix", "bigint"), "nComponents": _plain("n_components", "int"), "minBoundingBox": _plain("min_box"), "goodSourceFlag": _plain("good", "boolean"),
-    "circularityRatio": _plain("circularity"), "elongation": _plain("elongation"), "ellipseAreaRatio": _plain("ellipse_ratio"), "beamAreaRatio": (_beams, "double"),
+    "circRatio": _plain("circularity"), "elongation": _plain("elongation"), "ellipseAreaRatio": _plain("ellipse_ratio"), "beamAreaRatio": (_beams, "double"),
     "sourceMorphology": _plain("morph_id", "int"), "sourceness": _plain("sourceness_id", "int"), "sourceSimType": _plain("sim_type", "int"),
     "isExtended": (_extended, "boolean"), "isCompact": (_compact, "boolean"), "hasPixelsAtEdge": _plain("at_edge", "boolean"), "hasFit": _plain("has_fit", "boolean"),
-    "fitStatus": _plain("fit_status", "int"), "fitChi2": (_red, "double"), "fitQuality": _plain("fit_quality", "int"), "fitFlux": _plain("flux"),
-    "fitFluxToIslandRatio": ((lambda: F.col("flux") / F.col("s")), "double"),
+    "fitStatus": _plain("fit_status", "int"), "hasGoodFitChi2": (_red, "double"), "fitQualityFlag": _plain("fit_quality", "int"), "fitFlux": _plain("flux"),
+    "fitFluxToIslandRatio": ((lambda: F.try_divide("flux", "s")), "double"),
 }
-PASS_WITHOUT_FIT = {"fitStatus", "fitChi2", "fitQuality", "fitFlux"}
+PASS_WITHOUT_FIT = {"fitStatus", "hasGoodFitChi2", "fitQualityFlag", "fitFlux"}
 #: over an element of the array ``components``; the row gives the island's values
 COMPONENT: dict[str, Callable[[Column], Column]] = {
-    "componentFlux": lambda c: c["flux"], "componentCentroidInsideIsland": lambda c: c["inside"], "componentPeakFlux": lambda c: c["a"] / F.col("smax"),
-    "componentPeakSignificance": lambda c: (c["a"] - F.col("bkg_sum") / F.col("npix")) / (F.col("rms_sum") / F.col("npix")),
-    "componentPeakSNR": lambda c: c["a"] / (F.col("rms_sum") / F.col("npix")),
-    "componentIntToPeakFlux": lambda c: c["flux"] / c["a"] - 2.03 / (c["a"] / (F.col("rms_sum") / F.col("npix"))),
-    "componentMorphology": lambda c: c["morph_id"].cast("double"), "componentSourceness": lambda c: c["sourceness_id"].cast("double"),
-    "componentEccentricityRatio": lambda c: c["ecc_ratio"], "componentBeamAreaRatio": lambda c: c["area_ratio"],
+    "fitComponentFlux": lambda c: c["flux"], "fitComponentCentroidInsideIsland": lambda c: c["inside"].cast("double"), "fitComponentPeakFluxToMaxRatio": lambda c: F.try_divide(c["a"], F.col("smax")),
+    "fitComponentIntToPeakFluxRatio": lambda c: F.try_divide(c["flux"], c["a"]) - F.try_divide(F.lit(2.03), _snr(c["a"])),
+    "fitComponentPeakSignificance": lambda c: _snr(c["a"] - F.try_divide(F.col("bkg_sum"), F.col("npix").cast("double"))),
+    "fitComponentPeakSNR": lambda c: _snr(c["a"]),
+    "fitComponentEccentricityRatio": lambda c: c["ecc_ratio"], "fitComponentBeamAreaRatio": lambda c: c["area_ratio"],
+    "fitComponentMorphology": lambda c: c["morph_id"].cast("double"), "fitComponentSourceness": lambda c: c["sourceness_id"].cast("double"),
 }
+#: judges the components of a row together
+ISOLATED = "fitComponentIsolatedCentroid"
 
 
-def island_cut(cut: Cut, columns: dict[str, str]) -> Column:
-    """Boolean column of a cut: a registered name, or any column of the table by its name."""
+def island_cut(cut: Cut, columns: dict[str, str], unknown: str = "error") -> Column:
+    """Boolean column of a cut: a registered name, or any column of the table by its name. A disabled cut passes."""
+    if not cut.enabled:
+        return F.lit(True)
     if cut.name in ISLAND:
         operand, kind = ISLAND[cut.name]
         test = passes(cut, operand(), kind)
@@ -116,23 +126,46 @@ def island_cut(cut: Cut, columns: dict[str, str]) -> Column:
         return test | _no_beam() if cut.name == "beamAreaRatio" else test
     if cut.name in columns:
         return passes(cut, F.col(cut.name), columns[cut.name])
-    if cut.enabled:
-        warnings.warn(f"cut {cut.name!r} isn't registered and passes", stacklevel=3)
+    if unknown != "pass":
+        raise ValueError(f"cut {cut.name!r} is neither registered nor a column")
+    warnings.warn(f"cut {cut.name!r} isn't registered and passes", stacklevel=3)
     return F.lit(True)
 
 
-def _component_test(cut: Cut) -> Callable[[Column], Column]:
+def component_test(cut: Cut) -> Callable[[Column], Column]:
     return lambda c: passes(cut, COMPONENT[cut.name](c), "double")
 
 
-def select(df: DataFrame, cuts: list[Cut], require_all: bool = True) -> DataFrame:
+def isolated(components: Column, cut: Cut) -> Column:
+    """The components that stand apart: from the brightest on, one is kept if along x or along y it passes the cut against all kept before it."""
+    # brightest first; of equal ones the earlier
+    numbered = F.transform(components, lambda c, i: F.struct((-c["a"]).alias("k"), i.alias("i"), c.alias("c")))
+    bright = F.transform(F.array_sort(numbered), lambda e: e["c"])
+
+    def step(kept: Column, c: Column) -> Column:
+        apart = F.forall(kept, lambda o: passes(cut, F.abs(o["x0"] - c["x0"]), "double") | passes(cut, F.abs(o["y0"] - c["y0"]), "double"))
+        return F.when(apart, F.concat(kept, F.array(c))).otherwise(kept)
+
+    return F.aggregate(bright, F.filter(components, lambda c: F.lit(False)), step)
+
+
+def component_cuts(df: DataFrame, cuts: list[Cut]) -> DataFrame:
+    """Drop the failing elements of ``components`` cut by cut; a row that loses all of them fails, one without a fit passes."""
+    fitted = F.coalesce(F.col("has_fit"), F.lit(False)) if "has_fit" in df.columns else F.lit(True)
+    for cut in cuts:
+        if not cut.enabled or cut.name not in (*COMPONENT, ISOLATED):
+            continue
+        kept = isolated(F.col("components"), cut) if cut.name == ISOLATED else F.filter("components", component_test(cut))
+        df = df.withColumn("components", F.when(fitted, kept).otherwise(F.col("components"))).filter(~fitted | (F.size("components") > 0))
+    return df
+
+
+def select(df: DataFrame, cuts: list[Cut], require_all: bool = True, unknown: str = "error") -> DataFrame:
     """Rows that pass all cuts (or, if not ``require_all``, at least one enabled cut). Component cuts drop failing
     elements of ``components`` first, and a row that loses all of them fails."""
-    for cut in cuts:
-        if cut.name in COMPONENT and cut.enabled:
-            df = df.withColumn("components", F.filter("components", _component_test(cut))).filter(F.size("components") > 0)
+    df = component_cuts(df, cuts)
     columns = dict(df.dtypes)
-    tests = [island_cut(c, columns) for c in cuts if c.enabled and c.name not in COMPONENT]
+    tests = [island_cut(c, columns, unknown) for c in cuts if c.enabled and c.name not in (*COMPONENT, ISOLATED)]
     if not tests:
         return df
     return df.filter(reduce((lambda a, b: a & b) if require_all else (lambda a, b: a | b), tests))
@@ -141,7 +174,7 @@ def select(df: DataFrame, cuts: list[Cut], require_all: bool = True) -> DataFram
 def rejections(df: DataFrame, cuts: list[Cut]) -> DataFrame:
     """cut, rejected, share: how many rows each enabled cut would reject alone, in one pass."""
     columns = dict(df.dtypes)
-    named = [(c.name, island_cut(c, columns)) for c in cuts if c.enabled and c.name not in COMPONENT]
+    named = [(c.name, island_cut(c, columns)) for c in cuts if c.enabled and c.name not in (*COMPONENT, ISOLATED)]
     one = df.agg(F.count("*").alias("n"), *(F.sum((~t).cast("long")).alias(f"r{i}") for i, (_, t) in enumerate(named)))
     rows = F.array(*(F.struct(F.lit(n).alias("cut"), F.col(f"r{i}").alias("rejected"), (F.col(f"r{i}") / F.col("n")).alias("share")) for i, (n, _) in enumerate(named)))
     return one.select(F.inline(rows))

@@ -29,10 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder of ``spark.checkpoint.dir``; set a folder only where none is configured."""
+    """Keep the shared folder of ``spark.checkpoint.dir``.
+
+    Where none is configured a local session gets a temporary folder; on a cluster, whose executors couldn't read it, that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pelorus-checkpoint-"))
 
 

@@ -74,9 +74,24 @@ def test_cut_semantics(spark):
     d = spark.createDataFrame([(1, 1.0, [(5.0, 1)]), (2, 2.0, [(0.1, 2)]), (3, None, [])], "n int, v double, components array<struct<flux:double,morph_id:int>>")
     ids = lambda text, **k: sorted(r["n"] for r in cuts.select(d, cuts.parse_cuts(text), **k).collect())
     assert ids("v T >< OR {1} {2}") == [1, 2] and ids("v T <> OR {1} {2}") == [1, 2] and ids("n T >= OR {1.9}") == [1, 2, 3]
-    assert ids("componentFlux T >= OR {1}") == [1]
+    assert ids("fitComponentFlux T >= OR {1}") == [1]
+    with pytest.raises(ValueError):
+        ids("nothing T == OR {1}")
     with pytest.warns(UserWarning):
-        assert ids("nothing T == OR {1}") == [1, 2, 3]
+        assert ids("nothing T == OR {1}", unknown="pass") == [1, 2, 3]
+    assert ids("nothing F == OR {1}") == [1, 2, 3]
+
+
+def test_isolated_components(spark):
+    c = [(1.0, 0.0, 0.0), (5.0, 1.0, 1.0), (3.0, 9.0, 0.5), (2.0, 9.5, 1.0), (None, 50.0, 50.0)]
+    d = spark.createDataFrame([(1, True, c), (2, False, c), (3, True, [])], "n int, has_fit boolean, components array<struct<a:double,x0:double,y0:double>>")
+    got = {r["n"]: sorted(e["x0"] for e in r["components"]) for r in cuts.select(d, cuts.parse_cuts("fitComponentIsolatedCentroid T >= AND {2}")).collect()}
+    assert got == {1: [1.0, 9.0, 50.0], 2: [0.0, 1.0, 9.0, 9.5, 50.0]}
+
+
+def test_a_cut_file_of_all_names(spark):
+    lines = [f"{n} F >= AND {{1}}" for n in (*cuts.ISLAND, *cuts.COMPONENT, cuts.ISOLATED)]
+    assert len(lines) == 31 and cuts.select(spark.range(3), cuts.parse_cuts("\n".join(lines))).count() == 3
 
 
 def test_matches_and_cliques(spark):
