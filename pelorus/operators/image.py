@@ -1,17 +1,18 @@
 """Images in long form (image_id, ix, iy, v): projections, masks, neighbourhood filters, backgrounds, significance.
 
-Neighbourhood filters scatter: each pixel is exploded to the pixels that its value reaches and these are
-summed, one shuffle on the pixel with map-side combine, instead of a join for every kernel cell.
+Neighbourhood filters run on tiles with halos (``stencil``): one shuffle by tile, whatever the kernel.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelorus.functions import stats
+from pelorus.operators import stencil
 
 PIXEL = ["image_id", "ix", "iy"]
 # fixed values: kernels
@@ -19,6 +20,7 @@ LAPLACE = [[1, 1, 1], [1, -8, 1], [1, 1, 1]]
 SCHARR_X = [[-3, 0, 3], [-10, 0, 10], [-3, 0, 3]]
 SCHARR_Y = [[-3, -10, -3], [0, 0, 0], [3, 10, 3]]
 KIRSCH_RING = [5, 5, 5, -3, -3, -3, -3, -3]
+LOG7 = [[0, 0, 1, 1, 1, 0, 0], [0, 1, 3, 3, 3, 1, 0], [1, 3, 0, -7, 0, 3, 1], [1, 3, -7, -24, -7, 3, 1], [0, 0, 1, 1, 1, 0, 0], [0, 1, 3, 3, 3, 1, 0], [1, 3, 0, -7, 0, 3, 1]]
 B3_SPLINE = [1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16]
 
 
@@ -62,25 +64,26 @@ def extent(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"))
 
 
-def convolve(pixels: DataFrame, kernels: dict[str, list[list[float]]], gap: int = 1) -> DataFrame:
-    """Pixels of the input with one column a kernel: the convolution with zeros beyond the border.
+def convolve(pixels: DataFrame, kernels: dict[str, list[list[float]]], gap: int = 1, border: str = "zero", tile: int = stencil.TILE) -> DataFrame:
+    """Pixels of the input with one column a kernel: the convolution with zeros beyond the border, or the image mirrored there.
 
-    The kernel is flipped. ``gap`` spreads its cells (à trous). Missing pixels count as 0, and only input pixels come out.
+    The kernel is flipped. ``gap`` spreads its cells (à trous). Missing, null and non-finite pixels count as 0, repeated ones
+    as their sum, and only input pixels come out, once.
     """
-    first = next(iter(kernels.values()))
-    ry, rx = len(first) // 2, len(first[0]) // 2
-    cells = []
-    for y in range(len(first)):
-        for x in range(len(first[0])):
-            weights = [float(k[y][x]) for k in kernels.values()]
-            centre = y == ry and x == rx
-            if any(weights) or centre:
-                # out(p) = sum over o of k(o) in(p - o): the pixel at q reaches q + o
-                cells.append(F.struct(F.lit((x - rx) * gap).alias("dx"), F.lit((y - ry) * gap).alias("dy"), F.array(*map(F.lit, weights)).alias("w"), F.lit(centre).alias("here")))
-    d = pixels.select(*PIXEL, F.col("v").cast("double").alias("v"), F.explode(F.array(*cells)).alias("o"))
-    d = d.select("image_id", (F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy"), "v", "o.w", "o.here")
-    sums = [F.sum(F.col("v") * F.col("w")[i]).alias(name) for i, name in enumerate(kernels)]
-    return d.groupBy(*PIXEL).agg(F.max("here").alias("_in"), F.max(F.when(F.col("here"), F.col("v"))).alias("v"), *sums).filter("_in").drop("_in")
+    arrays = {n: np.array(k, float) for n, k in kernels.items()}
+    halo = gap * max(max(k.shape) // 2 for k in arrays.values())
+
+    def run(grid: np.ndarray, bounds) -> dict[str, np.ndarray]:
+        a = np.nan_to_num(stencil.mirrored(grid, bounds, halo) if border == "mirror" else grid)
+        return {n: stencil.correlate(a, k, gap) for n, k in arrays.items()}
+
+    return stencil.on_tiles(pixels, run, list(arrays), halo, extent(pixels) if border == "mirror" else None, tile)
+
+
+def log_filter(pixels: DataFrame) -> DataFrame:
+    """The fixed 7 x 7 Laplacian of Gaussian; 0 where the pixel is 0, null or not finite."""
+    d = convolve(pixels, {"log": LOG7})
+    return d.withColumn("log", F.when(stats.finite(F.col("v")) & (F.col("v") != 0), F.col("log")).otherwise(0.0))
 
 
 def laplacian(pixels: DataFrame) -> DataFrame:
@@ -98,52 +101,54 @@ def kirsch(pixels: DataFrame) -> DataFrame:
     return d.withColumn("kirsch", F.greatest(*names)).drop(*names)
 
 
-def wavelet(pixels: DataFrame, scales: int = 3) -> DataFrame:
-    """Planes w1..wn (differences of successive B3-spline smoothings) and the last smoothing, as plane n + 1."""
-    now, out = pixels.select(*PIXEL, F.col("v").cast("double").alias("v")), None
-    for n in range(1, scales + 1):
-        smooth = convolve(now, {"s": b3_kernel()}, gap=2 ** (n - 1))
-        plane = smooth.select(*PIXEL, F.lit(n).alias("plane"), (F.col("v") - F.col("s")).alias("w"))
-        out = plane if out is None else out.unionByName(plane)
-        now = smooth.select(*PIXEL, F.col("s").alias("v"))
-    return out.unionByName(now.select(*PIXEL, F.lit(scales + 1).alias("plane"), F.col("v").alias("w")))
+def wavelet(pixels: DataFrame, scales: int = 3, tile: int = stencil.TILE) -> DataFrame:
+    """Planes w1..wn (differences of successive B3-spline smoothings) and the last smoothing, as plane n + 1; all in one shuffle."""
+    kernel = np.array(b3_kernel())
+    halo = 2 * (2**scales - 1)
+
+    def run(grid: np.ndarray, _) -> dict[str, np.ndarray]:
+        seen, now, out = np.isfinite(grid), np.nan_to_num(grid), {}
+        for n in range(1, scales + 1):
+            smooth = np.where(seen, stencil.correlate(now, kernel, 2 ** (n - 1)), 0.0)
+            out[f"w{n}"], now = now - smooth, smooth
+        return {**out, f"w{scales + 1}": now}
+
+    names = [f"w{n}" for n in range(1, scales + 2)]
+    planes = F.array(*(F.struct(F.lit(n).alias("plane"), F.col(f"w{n}").alias("w")) for n in range(1, scales + 2)))
+    return stencil.on_tiles(pixels, run, names, halo, None, tile).select(*PIXEL, F.inline(planes))
 
 
-def _reach(pixels: DataFrame, size: int) -> DataFrame:
+def morphology(pixels: DataFrame, operation: str = "dilate", size: int = 3, tile: int = stencil.TILE) -> DataFrame:
+    """Square grey morphology over existing pixels: dilate, erode, open, close, gradient, tophat, blackhat; column ``m``. One shuffle."""
     half = size // 2
-    offsets = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for y in range(-half, half + 1) for x in range(-half, half + 1)))
-    d = pixels.select(*PIXEL, F.col("v").cast("double").alias("v"), F.explode(offsets).alias("o"))
-    here = (F.col("o.dx") == 0) & (F.col("o.dy") == 0)
-    return d.select("image_id", (F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy"), "v", here.alias("here"))
 
+    def run(grid: np.ndarray, _) -> dict[str, np.ndarray]:
+        seen = np.isfinite(grid)
 
-def morphology(pixels: DataFrame, operation: str = "dilate", size: int = 3) -> DataFrame:
-    """Square grey morphology over existing pixels: dilate, erode, open, close, gradient, tophat, blackhat; column ``m``."""
-    def step(d: DataFrame, how) -> DataFrame:
-        return _reach(d, size).groupBy(*PIXEL).agg(F.max("here").alias("_in"), how("v").alias("m")).filter("_in").drop("_in")
+        def step(a: np.ndarray, largest: bool) -> np.ndarray:
+            return np.where(seen, stencil.extreme(a, half, largest), np.nan)
 
-    def twice(a, b) -> DataFrame:
-        return step(step(pixels, a).withColumnRenamed("m", "v"), b)
+        if operation in ("dilate", "erode"):
+            return {"m": step(grid, operation == "dilate")}
+        if operation == "gradient":
+            return {"m": step(grid, True) - step(grid, False)}
+        first = operation in ("close", "blackhat")
+        inner = step(step(grid, first), not first)
+        return {"m": inner if operation in ("open", "close") else grid - inner if operation == "tophat" else inner - grid}
 
-    if operation in ("dilate", "erode"):
-        return step(pixels, F.max if operation == "dilate" else F.min)
-    if operation in ("open", "close"):
-        return twice(F.min, F.max) if operation == "open" else twice(F.max, F.min)
-    if operation == "gradient":
-        return _reach(pixels, size).groupBy(*PIXEL).agg(F.max("here").alias("_in"), (F.max("v") - F.min("v")).alias("m")).filter("_in").drop("_in")
-    base = pixels.select(*PIXEL, F.col("v").cast("double").alias("v"))
-    inner = twice(F.min, F.max) if operation == "tophat" else twice(F.max, F.min)
-    sign = 1.0 if operation == "tophat" else -1.0
-    return base.join(inner, PIXEL).select(*PIXEL, (sign * (F.col("v") - F.col("m"))).alias("m"))
+    twice = operation not in ("dilate", "erode", "gradient")
+    return stencil.on_tiles(pixels, run, ["m"], half * (2 if twice else 1), None, tile, "min" if operation == "erode" else "max").select(*PIXEL, "m")
 
 
-def peaks(pixels: DataFrame, size: int = 3, skip_border: bool = True) -> DataFrame:
+def peaks(pixels: DataFrame, size: int = 3, skip_border: bool = True, tile: int = stencil.TILE) -> DataFrame:
     """Local maxima: normal pixels (not 0) equal to their dilation, off the border, not level with their lower-left neighbour."""
-    d = _reach(pixels, size)
     half = size // 2
-    grown = d.groupBy(*PIXEL).agg(F.max("here").alias("_in"), F.max(F.when(F.col("here"), F.col("v"))).alias("v"), F.max("v").alias("m")).filter("_in and v = m and v <> 0")
-    level = pixels.select("image_id", (F.col("ix") + 1).alias("ix"), (F.col("iy") + 1).alias("iy"), F.col("v").cast("double").alias("_ll"))
-    out = grown.join(level, PIXEL, "left").filter("_ll is null or _ll <> v")
+
+    def run(grid: np.ndarray, _) -> dict[str, np.ndarray]:
+        top = (grid == stencil.extreme(grid, half, True)) & (grid != 0) & (grid != stencil.shifted(grid, 1, 1, np.nan))
+        return {"top": top.astype(float)}
+
+    out = stencil.on_tiles(pixels, run, ["top"], half, None, tile, "max").filter("top = 1")
     if skip_border:
         # an image's bounds are one row
         out = out.join(extent(pixels), "image_id").filter(F.col("ix").between(F.col("x0") + half, F.col("x1") - half) & F.col("iy").between(F.col("y0") + half, F.col("y1") - half))
@@ -191,16 +196,26 @@ def background(pixels: DataFrame, w: int, h: int, estimator: str = "median", lea
 
 
 def interpolate(pixels: DataFrame, grid: DataFrame, w: int, h: int) -> DataFrame:
-    """Pixels with bkg and rms interpolated bilinearly between box centres; beyond the outer centres the nearest holds."""
-    gx, gy = (F.col("ix") + 0.5) / w - 0.5, (F.col("iy") + 0.5) / h - 0.5
-    d = pixels.withColumns({"_fx": gx, "_fy": gy, "_x0": F.floor(gx).cast("long"), "_y0": F.floor(gy).cast("long")})
-    corners = F.array(*(F.struct((F.col("_x0") + a).alias("x"), (F.col("_y0") + b).alias("y"), ((1 - F.abs(F.col("_fx") - F.col("_x0") - a)) * (1 - F.abs(F.col("_fy") - F.col("_y0") - b))).alias("w")) for a in (0, 1) for b in (0, 1)))
+    """Pixels with bkg and rms interpolated bilinearly between box centres; beyond the outer centres the nearest holds.
+
+    Every box gets its nine neighbours on one row, so a pixel meets all it needs in one join on its own box.
+    """
+    keys = ["image_id", "tx", "ty"]
+    near = [(a, b) for b in (-1, 0, 1) for a in (-1, 0, 1)]
+    shifts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k")) for k, (a, b) in enumerate(near)))
+    spread = grid.select(*keys, "bkg", "rms", F.explode(shifts).alias("o")).select("image_id", (F.col("tx") - F.col("o.a")).alias("tx"), (F.col("ty") - F.col("o.b")).alias("ty"), F.col("o.k").alias("k"), F.struct("bkg", "rms").alias("e"))
+    wide = spread.groupBy(*keys).agg(F.array(*(F.max(F.when(F.col("k") == k, F.col("e"))) for k in range(9))).alias("_n"))
     ends = grid.groupBy("image_id").agg(*(f(c).alias(f"_{n}{c}") for c in ("tx", "ty") for n, f in (("lo", F.min), ("hi", F.max))))
-    d = d.select(*PIXEL, "v", F.explode(corners).alias("c")).join(ends, "image_id")
-    clamp = lambda c, k: F.least(F.greatest(F.col(c), F.col(f"_lo{k}")), F.col(f"_hi{k}")).alias(k)
-    d = d.select(*PIXEL, "v", F.col("c.w").alias("w"), clamp("c.x", "tx"), clamp("c.y", "ty"))
-    d = d.join(grid.select("image_id", "tx", "ty", "bkg", "rms"), ["image_id", "tx", "ty"])
-    return d.groupBy(*PIXEL, "v").agg(F.sum(F.col("w") * F.col("bkg")).alias("bkg"), F.sum(F.col("w") * F.col("rms")).alias("rms"))
+    d = tiled(pixels, w, h).join(wide.join(ends, "image_id"), keys)
+    parts = {}
+    for axis, c, size in (("x", "tx", w), ("y", "ty", h)):
+        at = (F.col("i" + axis) + 0.5) / size - 0.5
+        d = d.withColumns({f"_{axis}0": F.floor(at).cast("long"), f"_f{axis}": at - F.floor(at)})
+        # the box on either side, no further than the outer ones, as a step from the pixel's own
+        parts[axis] = [(F.greatest(F.least(F.col(f"_{axis}0") + s, F.col("_hi" + c)), F.col("_lo" + c)) - F.col(c), F.col(f"_f{axis}") if s else 1 - F.col(f"_f{axis}")) for s in (0, 1)]
+    corner = lambda x, y: F.get("_n", (x[0] + 1 + 3 * (y[0] + 1)).cast("int"))
+    total = lambda name: sum((F.coalesce(x[1] * y[1] * corner(x, y)[name], F.lit(0.0)) for x in parts["x"] for y in parts["y"]), F.lit(0.0)).alias(name)
+    return d.select(*PIXEL, "v", total("bkg"), total("rms"))
 
 
 def significance(pixels: DataFrame) -> DataFrame:

@@ -222,3 +222,73 @@ def region_merging(spark, sf_dir):
 @query()
 def chan_vese(spark, sf_dir):
     return segment.chan_vese(raster(spark, sf_dir), rounds=30)
+
+
+def wide_raster(spark, sf_dir):
+    """Every part and supplier its own pixel column and row: the image grows with the tables."""
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("image_id"), F.col("l_partkey").alias("ix"), F.col("l_suppkey").alias("iy"), "l_quantity")
+    return d.groupBy("image_id", "ix", "iy").agg(F.sum("l_quantity").alias("v"))
+
+
+WIDE = "px AS (SELECT l_returnflag AS image_id, l_partkey AS ix, l_suppkey AS iy, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _cells(kernel, gap: int = 1) -> str:
+    half = len(kernel) // 2
+    return ", ".join(f"({(x - half) * gap}, {(y - half) * gap}, CAST({kernel[y][x]!r} AS DOUBLE))" for y in range(len(kernel)) for x in range(len(kernel)) if kernel[y][x])
+
+
+def _conv_of(source: str, kernel, gap: int = 1) -> str:
+    return f"(SELECT a.image_id, a.ix, a.iy, a.v, sum(coalesce(b.v, 0) * k.w) AS c FROM {source} a CROSS JOIN (VALUES {_cells(kernel, gap)}) k(dx, dy, w) LEFT JOIN {source} b ON b.image_id = a.image_id AND b.ix = a.ix - k.dx AND b.iy = a.iy - k.dy GROUP BY 1, 2, 3, 4)"
+
+
+_UNEVEN = [[1.0, 2.0, 0.0], [0.5, 3.0, 1.0], [0.0, 4.0, 2.0]]
+
+
+@query(f"""WITH {WIDE}, e AS (SELECT image_id, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM px GROUP BY 1),
+s AS (SELECT a.image_id, a.ix, a.iy, k.w, CASE WHEN a.ix - k.dx < x0 THEN 2 * x0 - a.ix + k.dx WHEN a.ix - k.dx > x1 THEN 2 * x1 - a.ix + k.dx ELSE a.ix - k.dx END AS mx,
+  CASE WHEN a.iy - k.dy < y0 THEN 2 * y0 - a.iy + k.dy WHEN a.iy - k.dy > y1 THEN 2 * y1 - a.iy + k.dy ELSE a.iy - k.dy END AS my FROM px a JOIN e USING (image_id) CROSS JOIN (VALUES {_cells(_UNEVEN)}) k(dx, dy, w))
+SELECT s.image_id, s.ix, s.iy, round(sum(s.w * coalesce(b.v, 0)), 4) AS c FROM s LEFT JOIN px b ON b.image_id = s.image_id AND b.ix = s.mx AND b.iy = s.my GROUP BY 1, 2, 3""")
+def mirror_convolution(spark, sf_dir):
+    return rounded(image.convolve(wide_raster(spark, sf_dir), {"c": _UNEVEN}, border="mirror").drop("v"))
+
+
+@query(f"WITH {WIDE} SELECT image_id, ix, iy, round(c, 4) AS log FROM {_conv_of('px', image.LOG7)}")
+def fixed_log_filter(spark, sf_dir):
+    return rounded(image.log_filter(wide_raster(spark, sf_dir)).drop("v"))
+
+
+_B3 = image.b3_kernel()
+
+
+@query(f"""WITH {WIDE}, s1 AS (SELECT image_id, ix, iy, v AS before, c AS v FROM {_conv_of('px', _B3)}), s2 AS (SELECT image_id, ix, iy, v AS before, c AS v FROM {_conv_of('s1', _B3, 2)}), s3 AS (SELECT image_id, ix, iy, v AS before, c AS v FROM {_conv_of('s2', _B3, 4)})
+SELECT image_id, ix, iy, 1::INT AS plane, round(before - v, 4) AS w FROM s1 UNION ALL SELECT image_id, ix, iy, 2, round(before - v, 4) FROM s2 UNION ALL SELECT image_id, ix, iy, 3, round(before - v, 4) FROM s3 UNION ALL SELECT image_id, ix, iy, 4, round(v, 4) FROM s3""")
+def wavelet3(spark, sf_dir):
+    return rounded(image.wavelet(wide_raster(spark, sf_dir), 3))
+
+
+def _around(half: int) -> str:
+    return ", ".join(f"({x}, {y})" for y in range(-half, half + 1) for x in range(-half, half + 1))
+
+
+def _square(source: str, how: str) -> str:
+    return f"(SELECT a.image_id, a.ix, a.iy, {how}(b.v) AS v FROM {source} a CROSS JOIN (VALUES {_around(1)}) k(dx, dy) JOIN {source} b ON b.image_id = a.image_id AND b.ix = a.ix + k.dx AND b.iy = a.iy + k.dy GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH {WIDE}, lo AS {_square('px', 'min')}, hi AS {_square('px', 'max')}, op AS {_square('lo', 'max')}, cl AS {_square('hi', 'min')}
+SELECT image_id, ix, iy, px.v - op.v AS tophat, cl.v - px.v AS blackhat FROM px JOIN op USING (image_id, ix, iy) JOIN cl USING (image_id, ix, iy)""")
+def hat_transforms(spark, sf_dir):
+    d = wide_raster(spark, sf_dir)
+    return image.morphology(d, "tophat").withColumnRenamed("m", "tophat").join(image.morphology(d, "blackhat").withColumnRenamed("m", "blackhat"), image.PIXEL)
+
+
+def _peak_sql(size: int) -> str:
+    h = size // 2
+    return f"""(SELECT p.image_id, p.ix, p.iy, p.v, {size} AS kernel FROM (SELECT a.image_id, a.ix, a.iy, a.v FROM px a CROSS JOIN (VALUES {_around(h)}) k(dx, dy) JOIN px b ON b.image_id = a.image_id AND b.ix = a.ix + k.dx AND b.iy = a.iy + k.dy GROUP BY 1, 2, 3, 4 HAVING max(b.v) = a.v AND a.v <> 0) p
+ LEFT JOIN px l ON l.image_id = p.image_id AND l.ix = p.ix - 1 AND l.iy = p.iy - 1 JOIN e ON e.image_id = p.image_id WHERE (l.v IS NULL OR l.v <> p.v) AND p.ix BETWEEN x0 + {h} AND x1 - {h} AND p.iy BETWEEN y0 + {h} AND y1 - {h})"""
+
+
+@query(f"""WITH {WIDE}, e AS (SELECT image_id, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM px GROUP BY 1), k AS ({' UNION ALL '.join(f'SELECT * FROM {_peak_sql(n)}' for n in (3, 5, 7))})
+SELECT a.image_id, a.ix, a.iy, a.v, count(DISTINCT b.kernel) AS kernels FROM k a JOIN k b ON b.image_id = a.image_id AND abs(b.ix - a.ix) <= 1 AND abs(b.iy - a.iy) <= 1 WHERE a.kernel = 3 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT b.kernel) >= 2""")
+def peak_votes(spark, sf_dir):
+    return image.multi_kernel_peaks(wide_raster(spark, sf_dir))
