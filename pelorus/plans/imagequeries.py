@@ -272,7 +272,7 @@ def _around(half: int) -> str:
 
 
 def _square(source: str, how: str) -> str:
-    return f"(SELECT a.image_id, a.ix, a.iy, {how}(b.v) AS v FROM {source} a CROSS JOIN (VALUES {_around(1)}) k(dx, dy) JOIN {source} b ON b.image_id = a.image_id AND b.ix = a.ix + k.dx AND b.iy = a.iy + k.dy GROUP BY 1, 2, 3)"
+    return f"(SELECT image_id, ix, iy, w AS v FROM (SELECT image_id, ix + dx AS ix, iy + dy AS iy, {how}(v) AS w FROM {source} CROSS JOIN (VALUES {_around(1)}) k(dx, dy) GROUP BY 1, 2, 3) JOIN px USING (image_id, ix, iy))"
 
 
 @query(f"""WITH {WIDE}, lo AS {_square('px', 'min')}, hi AS {_square('px', 'max')}, op AS {_square('lo', 'max')}, cl AS {_square('hi', 'min')}
@@ -284,11 +284,11 @@ def hat_transforms(spark, sf_dir):
 
 def _peak_sql(size: int) -> str:
     h = size // 2
-    return f"""(SELECT p.image_id, p.ix, p.iy, p.v, {size} AS kernel FROM (SELECT a.image_id, a.ix, a.iy, a.v FROM px a CROSS JOIN (VALUES {_around(h)}) k(dx, dy) JOIN px b ON b.image_id = a.image_id AND b.ix = a.ix + k.dx AND b.iy = a.iy + k.dy GROUP BY 1, 2, 3, 4 HAVING max(b.v) = a.v AND a.v <> 0) p
+    return f"""(SELECT p.image_id, p.ix, p.iy, p.v, {size} AS kernel FROM (SELECT px.* FROM px JOIN (SELECT image_id, ix + dx AS ix, iy + dy AS iy, max(v) AS top FROM px CROSS JOIN (VALUES {_around(h)}) k(dx, dy) GROUP BY 1, 2, 3) m USING (image_id, ix, iy) WHERE v = top AND v <> 0) p
  LEFT JOIN px l ON l.image_id = p.image_id AND l.ix = p.ix - 1 AND l.iy = p.iy - 1 JOIN e ON e.image_id = p.image_id WHERE (l.v IS NULL OR l.v <> p.v) AND p.ix BETWEEN x0 + {h} AND x1 - {h} AND p.iy BETWEEN y0 + {h} AND y1 - {h})"""
 
 
 @query(f"""WITH {WIDE}, e AS (SELECT image_id, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM px GROUP BY 1), k AS ({' UNION ALL '.join(f'SELECT * FROM {_peak_sql(n)}' for n in (3, 5, 7))})
-SELECT a.image_id, a.ix, a.iy, a.v, count(DISTINCT b.kernel) AS kernels FROM k a JOIN k b ON b.image_id = a.image_id AND abs(b.ix - a.ix) <= 1 AND abs(b.iy - a.iy) <= 1 WHERE a.kernel = 3 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT b.kernel) >= 2""")
+SELECT a.image_id, a.ix, a.iy, a.v, n.kernels FROM k a JOIN (SELECT image_id, ix + dx AS ix, iy + dy AS iy, count(DISTINCT kernel) AS kernels FROM k CROSS JOIN (VALUES {_around(1)}) o(dx, dy) GROUP BY 1, 2, 3) n USING (image_id, ix, iy) WHERE a.kernel = 3 AND n.kernels >= 2""")
 def peak_votes(spark, sf_dir):
     return image.multi_kernel_peaks(wide_raster(spark, sf_dir))
