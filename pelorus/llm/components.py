@@ -155,6 +155,11 @@ def p3_found(spark, sf_dir):
     return consolidate(table(spark, sf_dir, "components"), table(spark, sf_dir, "compmatches"))
 
 
+def p3_levels(spark, sf_dir):
+    """The same answer with a small bound on what one task may merge, so that the hierarchical levels do the work."""
+    return consolidate(table(spark, sf_dir, "components"), table(spark, sf_dir, "compmatches"), bounded_edges=500)
+
+
 def _end_sql(k: int) -> str:
     name = f"regexp_replace(lower(sname_{k}), '\\s', '', 'g')"
     return f"""catalogindex_{k} AS c{k}, CASE WHEN fitcomponentindex_{k} IS NULL THEN regexp_replace({name}, '_fitcomp[0-9]+$', '') ELSE {name} END AS n{k},
