@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,7 +131,7 @@ def clipped(df: DataFrame, keys: list[str], value: str, k: float = 3.0, iteratio
         new = stats(kept.select(*keys, value))
         d = old.join(new, keys, "left")
         moved = F.col("mean").isNotNull() & ~F.col("o_done")
-        still = F.abs(F.col("rms") / F.col("o_rms") - 1.0) <= tol
+        still = F.abs(F.try_divide("rms", "o_rms") - 1.0) <= tol
         # a group's state is one row; writing it keeps the plan of the next round short
         now = cut_lineage(d.select(*keys, *(F.when(moved, F.col(c)).otherwise(F.col("o_" + c)).alias(c) for c in ("mean", "rms", "median")), (~moved | F.coalesce(still, F.lit(True))).alias("done")))
     return now.drop("done")
@@ -142,16 +144,16 @@ def biweight(df: DataFrame, keys: list[str], value: str, c: float = 6.0, iterati
     v = F.col(value).cast("double")
     for _ in range(iterations):
         d = attach(df.filter(finite(v)), now, keys)
-        u2 = ((v - F.col("location")) / (c * F.col("scale"))) ** 2
+        u2 = F.try_divide(v - F.col("location"), c * F.col("scale")) ** 2
         inside = (u2 <= 1.0) & (F.col("scale") > 0)
         w = (1 - u2) ** 2
         sums = d.groupBy(*keys, "location", "scale", "done").agg(
             F.count("*").alias("_n"), F.sum(F.when(inside, w * v)).alias("_wx"), F.sum(F.when(inside, w)).alias("_w"),
             F.sum(F.when(inside, (v - F.col("location")) ** 2 * (1 - u2) ** 4)).alias("_num"), F.sum(F.when(inside, (1 - u2) * (1 - 5 * u2))).alias("_den"),
         )
-        location = F.coalesce(F.col("_wx") / F.col("_w"), F.col("location"))
+        location = F.coalesce(F.try_divide("_wx", "_w"), F.col("location"))
         scale = F.when(F.abs(F.col("_den")) > 1.0, F.sqrt(F.col("_n") * F.col("_num")) / F.abs(F.col("_den"))).otherwise(F.col("scale"))
-        settled = F.abs(location / F.col("location") - 1.0) < tol
+        settled = F.abs(F.try_divide(location, F.col("location")) - 1.0) < tol
         settled = F.coalesce(settled, F.lit(True))
         now = sums.select(*keys, F.when(F.col("done"), F.col("location")).otherwise(location).alias("location"), F.when(F.col("done") | settled, F.col("scale")).otherwise(scale).alias("scale"), (F.col("done") | settled).alias("done"))
     return now.drop("done")
@@ -218,11 +220,13 @@ def cumulative_threshold(df: DataFrame, keys: list[str], value: str, fraction: f
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, samples: int = 100, seed: int = 1) -> DataFrame:
-    """keys, mean_err: spread of the mean over Poisson resamples, in one pass; each row is drawn from a hash of its content and the sample."""
+    """keys, mean_err: spread of the mean over Poisson resamples, in one pass; each row is drawn from a hash of its content and the
+    sample, whatever its partition. Rows alike in every column are drawn together: give rows of one value a key."""
     v = F.col(value).cast("double")
-    d = df.filter(finite(v)).withColumn("_r", F.monotonically_increasing_id()).select(*keys, v.alias("v"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_k"), "_r")
-    u = (F.pmod(F.xxhash64("_r", "_k", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # Poisson(1) by inversion, as far as matters
-    times = sum((F.when(u > p, 1).otherwise(0) for p in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)), F.lit(0))
-    means = d.groupBy(*keys, "_k").agg((F.sum(F.col("v") * times) / F.sum(times)).alias("m"))
+    d = df.filter(finite(v)).withColumn("_r", F.xxhash64(*df.columns)).select(*keys, v.alias("v"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_k"), "_r")
+    u = (F.pmod(F.xxhash64("_r", "_k", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    # Poisson(1) by inversion, to where a double is 1
+    steps = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(n + 1)) for n in range(17)]
+    times = sum((F.when(u > p, 1).otherwise(0) for p in steps), F.lit(0))
+    means = d.groupBy(*keys, "_k").agg(F.try_divide(F.sum(F.col("v") * times), F.sum(times)).alias("m"))
     return means.groupBy(*keys).agg(F.stddev_samp("m").alias("mean_err"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,21 +173,111 @@ def tiled(pixels: DataFrame, w: int, h: int) -> DataFrame:
     return pixels.withColumns({"tx": F.floor(F.col("ix") / w).cast("long"), "ty": F.floor(F.col("iy") / h).cast("long")})
 
 
+def _clip_box(v: np.ndarray, k: float = 3.0, rounds: int = 5, tol: float = 0.1) -> tuple[float, float]:
+    """Median and rms of one box, clipped as ``stats.clipped`` does."""
+    spread = lambda x: float(x.std(ddof=1)) if len(x) > 1 else 0.0
+    middle, rms = float(np.median(v)), spread(v)
+    for _ in range(rounds):
+        kept = v[np.abs(v - middle) < k * rms]
+        if not len(kept):
+            break
+        before, middle, rms = rms, float(np.median(kept)), spread(kept)
+        if abs(rms / before - 1.0) <= tol:
+            break
+    return middle, rms
+
+
+def _biweight_box(v: np.ndarray, c: float = 6.0, rounds: int = 10, tol: float = 1e-4) -> tuple[float, float]:
+    """Location and scale of one box as ``stats.biweight`` has them."""
+    at = float(np.median(v))
+    scale = float(np.median(np.abs(v - at))) * stats.MAD_TO_RMS
+    for _ in range(rounds):
+        if scale <= 0:
+            break
+        u2 = ((v - at) / (c * scale)) ** 2
+        inside = u2 <= 1.0
+        u2, w = u2[inside], (1 - u2[inside]) ** 2
+        before, at = at, float((w @ v[inside]) / w.sum()) if w.sum() else at
+        if before == 0 or abs(at / before - 1.0) < tol:
+            break
+        den = abs(float(((1 - u2) * (1 - 5 * u2)).sum()))
+        if den > 1.0:
+            scale = math.sqrt(len(v) * float(((v[inside] - before) ** 2 * (1 - u2) ** 4).sum())) / den
+    return at, scale
+
+
+def _box_estimates(d: DataFrame, keys: list[str], estimator: str) -> DataFrame:
+    """The iterated estimators of boxes: a box is a bounded group, so all rounds run on it in one task."""
+    f = {"clipped": _clip_box, "biweight": _biweight_box}[estimator]
+    kind = dict(d.dtypes)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *f(pdf["v"].to_numpy(float)))], columns=[*keys, "bkg", "rms"])
+
+    return d.select(*keys, "v").groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kind[k]}" for k in keys) + ", bkg double, rms double")
+
+
+#: name of an estimator -> keys, bkg and rms of the finite values ``v`` of each group
+def _estimates(d: DataFrame, keys: list[str], estimator: str) -> DataFrame:
+    if estimator == "mean":
+        return d.groupBy(*keys).agg(F.avg("v").alias("bkg"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("rms"))
+    if estimator == "median":
+        return stats.mad(d, keys, "v").select(*keys, F.col("median").alias("bkg"), (F.col("mad") * stats.MAD_TO_RMS).alias("rms"))
+    if estimator == "biweight":
+        return stats.biweight(d, keys, "v").select(*keys, F.col("location").alias("bkg"), F.col("scale").alias("rms"))
+    if estimator == "clipped":
+        return stats.clipped(d, keys, "v").select(*keys, F.col("median").alias("bkg"), "rms")
+    raise ValueError(f"no estimator {estimator!r}")
+
+
+def _reliable(least: int) -> Column:
+    return (F.col("npix") >= least) & (F.col("bkg") != 0) & (F.col("rms") != 0) & stats.finite(F.col("bkg")) & stats.finite(F.col("rms"))
+
+
+def sample_background(pixels: DataFrame, estimator: str = "median", low: float | None = None, high: float | None = None, least: int = 10) -> DataFrame:
+    """image_id, npix, bkg, rms, reliable of each image as one sample, of its pixels from ``low`` to ``high``.
+
+    estimator: mean, median (with the mad), biweight (c = 6) or clipped (median and rms clipped at 3 sigma); all spread a large image over tasks.
+    """
+    d = pixels.filter(stats.finite(F.col("v"))).withColumn("v", F.col("v").cast("double"))
+    for bound, test in ((low, F.col("v") >= F.lit(low)), (high, F.col("v") <= F.lit(high))):
+        if bound is not None:
+            d = d.filter(test)
+    n = d.groupBy("image_id").agg(F.count("*").alias("npix"))
+    return n.join(_estimates(d, ["image_id"], estimator), "image_id").withColumn("reliable", _reliable(least)).select("image_id", "npix", "bkg", "rms", "reliable")
+
+
+def _boxes(pixels: DataFrame, w: int, h: int, estimator: str) -> DataFrame:
+    """image_id, tx, ty, npix, bkg, rms of each box."""
+    d = tiled(pixels.filter(stats.finite(F.col("v"))).withColumn("v", F.col("v").cast("double")), w, h)
+    keys = ["image_id", "tx", "ty"]
+    if estimator == "median":
+        m = d.groupBy(*keys).agg(F.count("*").alias("npix"), F.percentile(F.col("v"), 0.5).alias("bkg"))
+        grid = d.join(m, keys).groupBy(*keys, "npix", "bkg").agg((F.percentile(F.abs(F.col("v") - F.col("bkg")), 0.5) * stats.MAD_TO_RMS).alias("rms"))
+    else:
+        parts = _box_estimates(d, keys, estimator) if estimator in ("clipped", "biweight") else _estimates(d, keys, estimator)
+        grid = d.groupBy(*keys).agg(F.count("*").alias("npix")).join(parts, keys)
+    return grid
+
+
+def two_pass_background(pixels: DataFrame, w: int, h: int, estimator: str = "median", least: int = 10) -> DataFrame:
+    """Boxes as of ``background``, whose rms is that of a second pass over the pixels less the interpolated background, where it is positive."""
+    keys = ["image_id", "tx", "ty"]
+    first = background(pixels, w, h, estimator, least)
+    rest = interpolate(pixels, first, w, h).select(*PIXEL, (F.col("v") - F.col("bkg")).alias("v"))
+    second = _boxes(rest, w, h, estimator).select(*keys, F.col("rms").alias("_rms"))
+    return first.join(second, keys, "left").withColumn("rms", F.when(F.col("_rms") > 0, F.col("_rms")).otherwise(F.col("rms"))).drop("_rms")
+
+
 def background(pixels: DataFrame, w: int, h: int, estimator: str = "median", least: int = 10) -> DataFrame:
-    """image_id, tx, ty, npix, bkg, rms, reliable of each box. estimator: mean or median (with the mad).
+    """image_id, tx, ty, npix, bkg, rms, reliable of each box. estimator: mean, median (with the mad), biweight or clipped.
 
     Boxes are bounded in size, so the built-in exact percentile serves. A box is unreliable with fewer than ``least``
     pixels or a background or rms of 0; it takes the mean of up to three reliable left and lower neighbours.
     """
-    d = tiled(pixels.filter(stats.finite(F.col("v"))), w, h)
     keys = ["image_id", "tx", "ty"]
-    if estimator == "mean":
-        grid = d.groupBy(*keys).agg(F.count("*").alias("npix"), F.avg("v").alias("bkg"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("rms"))
-    else:
-        m = d.groupBy(*keys).agg(F.count("*").alias("npix"), F.percentile(F.col("v").cast("double"), 0.5).alias("bkg"))
-        away = d.join(m, keys).groupBy(*keys, "npix", "bkg").agg((F.percentile(F.abs(F.col("v") - F.col("bkg")), 0.5) * stats.MAD_TO_RMS).alias("rms"))
-        grid = away
-    grid = grid.withColumn("reliable", (F.col("npix") >= least) & (F.col("bkg") != 0) & (F.col("rms") != 0) & stats.finite(F.col("bkg")) & stats.finite(F.col("rms")))
+    grid = _boxes(pixels, w, h, estimator)
+    grid = grid.withColumn("reliable", _reliable(least))
     good = grid.filter("reliable").select("image_id", "tx", "ty", "bkg", "rms")
     shifts = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 0), (0, 1), (1, 1))))
     lent = good.select("image_id", F.explode(shifts).alias("o"), "tx", "ty", "bkg", "rms").select("image_id", (F.col("tx") + F.col("o.x")).alias("tx"), (F.col("ty") + F.col("o.y")).alias("ty"), "bkg", "rms")

@@ -86,23 +86,32 @@ def object_class(matches: DataFrame) -> DataFrame:
     return g.select("id", F.when(F.size("c") == 1, F.col("c")[0]).otherwise(-1).alias("class_id"), code.alias("class_code"), (F.col("k") == 1).alias("confirmed"))
 
 
-def cliques(edges: DataFrame, size: int = 3) -> DataFrame:
-    """members: sorted arrays of ``size`` nodes of an undirected graph (a, b) that are all linked to each other.
-
-    Grown edge by edge: a clique of n takes a later neighbour of its last node that all others are linked to, each
-    step one join on a node and one on an edge; edges run from lower to higher degree, so a hub fans in, not out.
-    """
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """a, b of an undirected graph, each edge once, from its end of lower to that of higher degree: a hub fans in, not out."""
     e = edges.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     deg = e.select(F.col("a").alias("n")).unionByName(e.select(F.col("b").alias("n"))).groupBy("n").agg(F.count("*").alias("d"))
     e = e.join(deg.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
     swap = F.struct("db", "b") < F.struct("da", "a")
-    e = e.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return e.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
+def grown_cliques(now: DataFrame, e: DataFrame) -> DataFrame:
+    """m: cliques (arrays of nodes in the order of ``ordered_edges``) with one more node, a later neighbour of the last that all others are linked to."""
+    grown = now.withColumn("a", F.element_at("m", -1)).join(e, "a").select("m", F.col("b").alias("c"))
+    pairs = grown.select("m", "c", F.explode(F.slice("m", 1, F.size("m") - 1)).alias("a"))
+    linked = pairs.join(e.withColumnRenamed("b", "c"), ["a", "c"], "left_semi").groupBy("m", "c").agg(F.count("*").alias("k"))
+    return linked.filter(F.col("k") == F.size("m") - 1).select(F.concat("m", F.array("c")).alias("m"))
+
+
+def cliques(edges: DataFrame, size: int = 3) -> DataFrame:
+    """members: sorted arrays of ``size`` nodes of an undirected graph (a, b) that are all linked to each other.
+
+    Grown edge by edge: each step is one join on a node and one on an edge.
+    """
+    e = ordered_edges(edges)
     now = e.select(F.array("a", "b").alias("m"))
     for _ in range(size - 2):
-        grown = now.withColumn("a", F.element_at("m", -1)).join(e, "a").select("m", F.col("b").alias("c"))
-        pairs = grown.select("m", "c", F.explode(F.slice("m", 1, F.size("m") - 1)).alias("a"))
-        linked = pairs.join(e.withColumnRenamed("b", "c"), ["a", "c"], "left_semi").groupBy("m", "c").agg(F.count("*").alias("k"))
-        now = linked.filter(F.col("k") == F.size("m") - 1).select(F.concat("m", F.array("c")).alias("m"))
+        now = grown_cliques(now, e)
     return now.select(F.sort_array("m").alias("members"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pelorus.functions import stats
-from pelorus.plans import cutqueries, imagequeries, linkqueries, measurequeries, scalarqueries, sourcequeries
+from pelorus.plans import associationqueries, cutqueries, imagequeries, linkqueries, measurequeries, scalarqueries, sourcequeries
 from pelorus.plans.runtime import table
 
 QUERIES: dict = {}
@@ -159,6 +159,6 @@ def bootstrap_error(spark, sf_dir):
     return stats.bootstrap(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", 50)
 
 
-for _module in (cutqueries, imagequeries, linkqueries, measurequeries, scalarqueries, sourcequeries):
+for _module in (associationqueries, cutqueries, imagequeries, linkqueries, measurequeries, scalarqueries, sourcequeries):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

@@ -292,3 +292,44 @@ def _peak_sql(size: int) -> str:
 SELECT a.image_id, a.ix, a.iy, a.v, n.kernels FROM k a JOIN (SELECT image_id, ix + dx AS ix, iy + dy AS iy, count(DISTINCT kernel) AS kernels FROM k CROSS JOIN (VALUES {_around(1)}) o(dx, dy) GROUP BY 1, 2, 3) n USING (image_id, ix, iy) WHERE a.kernel = 3 AND n.kernels >= 2""")
 def peak_votes(spark, sf_dir):
     return image.multi_kernel_peaks(wide_raster(spark, sf_dir))
+
+
+_AVG = f"""{PX}, t AS (SELECT *, ix // 16 AS tx, iy // 16 AS ty FROM px), r AS (SELECT image_id, tx, ty, count(*) AS npix, avg(v) AS bkg, coalesce(stddev_samp(v), 0) AS rms FROM t GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_AVG} SELECT image_id, tx, ty, npix, round(bkg, 4) AS bkg, round(rms, 4) AS rms FROM r WHERE npix >= 10")
+def mean_background(spark, sf_dir):
+    return rounded(image.background(raster(spark, sf_dir), 16, 16, "mean").filter("npix >= 10").drop("reliable"))
+
+
+@query(f"""WITH {PX}, d AS (SELECT * FROM px WHERE v BETWEEN 20 AND 300), m AS (SELECT image_id, count(*) AS npix, median(v) AS bkg FROM d GROUP BY 1)
+SELECT d.image_id, npix, round(bkg, 4) AS bkg, round(median(abs(v - bkg)) * 1.4826, 4) AS rms, npix >= 10 AS reliable FROM d JOIN m USING (image_id) GROUP BY d.image_id, npix, bkg""")
+def global_background(spark, sf_dir):
+    return rounded(image.sample_background(raster(spark, sf_dir), "median", 20.0, 300.0))
+
+
+def _rounds(keys: str, source: str, rounds: int = 5) -> str:
+    """CTEs of the clipped median and rms: s<n> holds each group's state after n rounds."""
+    first = f"s0 AS (SELECT {keys}, median(v) AS med, coalesce(stddev_samp(v), 0) AS sd, false AS done FROM {source} GROUP BY {keys})"
+    steps = [first]
+    for n in range(1, rounds + 1):
+        k = f"k{n} AS (SELECT {keys}, median(v) AS m2, coalesce(stddev_samp(v), 0) AS s2 FROM {source} JOIN s{n - 1} USING ({keys}) WHERE NOT done AND abs(v - med) < 3 * sd GROUP BY {keys})"
+        s = f"s{n} AS (SELECT {keys}, CASE WHEN done OR m2 IS NULL THEN med ELSE m2 END AS med, CASE WHEN done OR m2 IS NULL THEN sd ELSE s2 END AS sd, done OR m2 IS NULL OR coalesce(abs(s2 / nullif(sd, 0) - 1) <= 0.1, true) AS done FROM s{n - 1} LEFT JOIN k{n} USING ({keys}))"
+        steps += [k, s]
+    return ", ".join(steps)
+
+
+@query(f"WITH {PX}, t AS (SELECT *, ix // 16 AS tx, iy // 16 AS ty FROM px), {_rounds('image_id, tx, ty', 't')}, n AS (SELECT image_id, tx, ty, count(*) AS npix FROM t GROUP BY 1, 2, 3) SELECT image_id, tx, ty, npix, round(med, 4) AS bkg, round(sd, 4) AS rms FROM n JOIN s5 USING (image_id, tx, ty) WHERE npix >= 10")
+def clipped_background(spark, sf_dir):
+    return rounded(image.background(raster(spark, sf_dir), 16, 16, "clipped").filter("npix >= 10").drop("reliable"))
+
+
+@query()
+def biweight_background(spark, sf_dir):
+    return rounded(image.background(raster(spark, sf_dir), 16, 16, "biweight"))
+
+
+@query(f"""WITH {_INTERP}, q AS (SELECT image_id, ix // 16 AS tx, iy // 16 AS ty, v - bkg AS v FROM maps), qm AS (SELECT image_id, tx, ty, median(v) AS m FROM q GROUP BY 1, 2, 3), q2 AS (SELECT q.image_id, q.tx, q.ty, median(abs(v - m)) * 1.4826 AS rms2, any_value(m) AS m FROM q JOIN qm USING (image_id, tx, ty) GROUP BY 1, 2, 3)
+SELECT image_id, tx, ty, npix, round(grid.bkg, 4) AS bkg, round(CASE WHEN rms2 > 0 THEN rms2 ELSE grid.rms END, 4) AS rms FROM grid JOIN q2 USING (image_id, tx, ty) WHERE npix >= 10""")
+def second_pass_background(spark, sf_dir):
+    return rounded(image.two_pass_background(raster(spark, sf_dir), 16, 16).filter("npix >= 10").drop("reliable"))

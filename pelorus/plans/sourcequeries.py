@@ -79,5 +79,5 @@ def tile_counts(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tile_counts(spark, sf_dir):
-    d = tiles.run_to_memory(spark, f"{sf_dir}/events.parquet", f"tile_counts_{os.getpid()}_{abs(hash(sf_dir)) % 10**9}")
+    d = tiles.run_to_table(spark, f"{sf_dir}/events.parquet", f"tile_counts_{os.getpid()}_{abs(hash(sf_dir)) % 10**9}")
     return d.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
