@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelorus.functions import scalars, stats
-from pelorus.operators import image
+from pelorus.operators import image, stencil
 from pelorus.plans.runtime import cut_lineage
 
 PIXEL = image.PIXEL
@@ -127,22 +127,21 @@ def h_domes(pixels: DataFrame, height: float, size: int = 3, tile: int = 512) ->
     return reconstruct(pixels, low, size, tile=tile).join(pixels.select(*PIXEL, "v"), PIXEL).select(*PIXEL, (F.col("v") - F.col("m")).alias("dome"))
 
 
-def guided_filter(pixels: DataFrame, radius: int = 2, eps: float = 0.1) -> DataFrame:
-    """image_id, ix, iy, smooth: edge-preserving smoothing of an image by itself, from box means of its values and squares."""
-    size = 2 * radius + 1
-    box = [[1.0] * size for _ in range(size)]
-    base = pixels.select(*PIXEL, F.col("v").cast("double").alias("v"))
+def guided_filter(pixels: DataFrame, radius: int = 2, eps: float = 0.1, tile: int = stencil.TILE) -> DataFrame:
+    """image_id, ix, iy, smooth: edge-preserving smoothing of an image by itself, from box means of its values and squares; one shuffle."""
+    line = np.ones((1, 2 * radius + 1))
 
-    def means(d: DataFrame, column: str, name: str) -> DataFrame:
-        ones = image.convolve(d.withColumn("v", F.lit(1.0)), {"n": box}).select(*PIXEL, "n")
-        return image.convolve(d.withColumn("v", F.col(column)), {"s": box}).select(*PIXEL, "s").join(ones, PIXEL).select(*PIXEL, (F.col("s") / F.col("n")).alias(name))
+    def run(grid: np.ndarray, _) -> dict[str, np.ndarray]:
+        seen = np.isfinite(grid)
+        v = np.nan_to_num(grid)
+        box = lambda a: stencil.correlate(stencil.correlate(np.where(seen, a, 0.0), line), line.T)
+        n = np.maximum(box(seen.astype(float)), 1.0)
+        mean = box(v) / n
+        var = box(v * v) / n - mean**2
+        a = var / (var + eps)
+        return {"smooth": box(a) / n * v + box(mean * (1 - a)) / n}
 
-    sq = base.withColumn("q", F.col("v") ** 2)
-    d = base.join(means(base, "v", "mean"), PIXEL).join(means(sq, "q", "meansq"), PIXEL)
-    var = F.col("meansq") - F.col("mean") ** 2
-    d = d.withColumn("a", var / (var + eps)).withColumn("b", F.col("mean") * (1 - F.col("a")))
-    d = cut_lineage(d.select(*PIXEL, "v", "a", "b"))
-    return d.select(*PIXEL, "v").join(means(d, "a", "ma"), PIXEL).join(means(d, "b", "mb"), PIXEL).select(*PIXEL, (F.col("ma") * F.col("v") + F.col("mb")).alias("smooth"))
+    return stencil.on_tiles(pixels, run, ["smooth"], 2 * radius, None, tile).select(*PIXEL, "smooth")
 
 
 def circle_grid(spark, ra0: float, ra1: float, dra: float, dec0: float, dec1: float, ddec: float, radius: float) -> DataFrame:

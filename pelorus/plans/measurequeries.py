@@ -77,7 +77,14 @@ def h_domes(spark, sf_dir):
     return rounded(residual.h_domes(raster(spark, sf_dir), 40.0))
 
 
-@query()
+def _box_means(source: str, columns: list[str]) -> str:
+    """Means over 5 x 5 of the existing pixels, by scattering."""
+    around = ", ".join(f"({x}, {y})" for y in range(-2, 3) for x in range(-2, 3))
+    return f"(SELECT m.* FROM (SELECT image_id, ix + dx AS ix, iy + dy AS iy, {', '.join(f'avg({c}) AS m{k}' for k, c in enumerate(columns))} FROM {source} CROSS JOIN (VALUES {around}) o(dx, dy) GROUP BY 1, 2, 3) m JOIN px USING (image_id, ix, iy))"
+
+
+@query(f"""WITH {PX}, s AS {_box_means('px', ['v', 'v * v'])}, c AS (SELECT image_id, ix, iy, m0, (m1 - m0 * m0) / (m1 - m0 * m0 + 100) AS a FROM s), d AS (SELECT *, m0 * (1 - a) AS b FROM c), e AS {_box_means('d', ['a', 'b'])}
+SELECT image_id, ix, iy, round(m0 * v + m1, 4) AS smooth FROM e JOIN px USING (image_id, ix, iy)""")
 def guided_filter(spark, sf_dir):
     return rounded(residual.guided_filter(raster(spark, sf_dir), 2, 100.0))
 

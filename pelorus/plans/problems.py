@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pelorus.operators import harmonise, malformed, nested, proximity
 from pelorus.plans.runtime import table
 
@@ -19,7 +21,8 @@ def p6_found(spark, sf_dir):
 
 
 def p6_components(spark, sf_dir):
-    return nested.flat_tables(table(spark, sf_dir, "taskcollections"))["component"]
+    d = nested.flat_tables(table(spark, sf_dir, "taskcollections"))["component"]
+    return d.withColumn("selected", F.col("selected").cast("string"))
 
 
 def p7_found(spark, sf_dir):
@@ -66,3 +69,24 @@ e AS (SELECT line_id, CASE WHEN NOT ok THEN 'quoting' WHEN n <> 37 THEN 'columns
 SELECT line_id, reason FROM e WHERE reason IS NOT NULL
 """,
 }
+
+
+def _items(value: str) -> str:
+    """The elements of a JSON value: of an array its own, of an object itself, else none."""
+    return f"CASE json_type({value}) WHEN 'ARRAY' THEN json_extract({value}, '$[*]') WHEN 'OBJECT' THEN [{value}] ELSE [] END"
+
+
+def _level(source: str, kind: str, value: str, field: str) -> str:
+    """Object elements of a field of each node of a table (coll_id, path, node)."""
+    return f"""SELECT coll_id, {kind} AS kind, path || '{field}[' || i || ']' AS path, path AS parent, v AS node FROM (
+  SELECT coll_id, path, unnest({_items(value)}) AS v, unnest(range(len({_items(value)}))) AS i FROM {source}) WHERE json_type(v) = 'OBJECT'"""
+
+
+_NODES = f"""WITH RECURSIVE root AS (SELECT coll_id, '' AS path, payload::JSON AS node FROM (SELECT * FROM taskcollections WHERE json_valid(payload))),
+task AS ({_level("root", "'task'", "(node->'tasks')", "tasks")}),
+src AS ({_level("task", "'source'", "(node->'sources')", ".sources")} UNION ALL {_level("task", "'ext_source'", "(node->'ext_sources')", ".ext_sources")}),
+deep AS (SELECT * FROM src UNION ALL {_level("deep", "'nested'", "(node->'m_NestedSources')", ".m_NestedSources")}),
+comp AS ({_level("deep", "'component'", "(node->'m_fitPars'->'pars')", ".m_fitPars.pars")})"""
+SQL["p6_found"] = f"""{_NODES} SELECT coll_id, kind, path AS node_path, parent AS parent_path FROM (SELECT * FROM task UNION ALL SELECT * FROM deep UNION ALL SELECT * FROM comp)"""
+SQL["p7_loaded"] = SQL["p7_found"].replace("SELECT line_id, CASE WHEN NOT ok", "SELECT line_id, c, d, CASE WHEN NOT ok").replace("SELECT line_id, reason FROM e WHERE reason IS NOT NULL", "SELECT line_id, c[1] AS component_name, d[2] AS ra_deg_cont, d[3] AS dec_deg_cont FROM e WHERE reason IS NULL")
+SQL["p6_components"] = f"""{_NODES} SELECT coll_id, path AS node_path, parent AS parent_path, TRY_CAST(node->>'m_bmaj' AS DOUBLE) AS bmaj, TRY_CAST(node->>'m_bmin' AS DOUBLE) AS bmin, CAST(TRY_CAST(node->>'m_selected' AS BOOLEAN) AS VARCHAR) AS selected FROM comp"""
