@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pelorus.functions import scalars
+
 
 def pixel_to_sky(ix: Column, iy: Column, cx: Column, cy: Column, xc: Column, yc: Column, dx: Column, dy: Column, projection: str = "TAN", rotation: Column | None = None) -> Column:
     """struct(ra, dec) in degrees of a pixel (from 0); cx, cy is the reference pixel (from 1), xc, yc its sky position."""
@@ -36,3 +38,47 @@ def sky_to_pixel(ra: Column, dec: Column, cx: Column, cy: Column, xc: Column, yc
     if projection == "TAN":
         x, y = x / z, y / z
     return F.when(z > 0, F.struct((F.degrees(x) / dx + cx - 1).alias("ix"), (F.degrees(y) / dy + cy - 1).alias("iy")))
+
+
+def contour_to_sky(verts: Column, *head: Column, offset: float = 0.0, projection: str = "TAN") -> Column:
+    """An array of struct(x, y) in pixels as struct(x, y) in degrees; ``offset`` is added to the pixels first."""
+    def project(p: Column) -> Column:
+        return scalars.let(pixel_to_sky(p["x"] + offset, p["y"] + offset, *head, projection=projection), lambda s: F.struct(s["ra"].alias("x"), s["dec"].alias("y")))
+
+    return F.transform(verts, project)
+
+
+def ellipse_to_sky(e: Column, *head: Column, offset: float = 0.0, projection: str = "TAN") -> Column:
+    """struct(x, y, r1, r2, theta) in degrees of an ellipse in pixels (semi-axes, theta from the x axis).
+
+    The axes are the great-circle distances to the ends of both; the minor one is what stands upright on the major; theta is
+    90 degrees less the bearing of the major axis, since right ascension grows to the left.
+    """
+    x, y, t = e["x"] + offset, e["y"] + offset, F.radians(e["theta"])
+    at = lambda a, b: pixel_to_sky(a, b, *head, projection=projection)
+    points = F.struct(at(x, y).alias("c"), at(x + e["r1"] * F.cos(t), y + e["r1"] * F.sin(t)).alias("a"), at(x + e["r2"] * F.sin(t), y - e["r2"] * F.cos(t)).alias("b"))
+
+    def ends(p: Column) -> Column:
+        way = lambda f, q: f(p["c"]["ra"], p["c"]["dec"], p[q]["ra"], p[q]["dec"])
+        skew = way(scalars.bearing, "a") - way(scalars.bearing, "b") + 90
+        return F.struct(p["c"]["ra"].alias("x"), p["c"]["dec"].alias("y"), way(scalars.haversine, "a").alias("r1"), (way(scalars.haversine, "b") * F.abs(F.cos(F.radians(skew)))).alias("r2"), (90 - way(scalars.bearing, "a")).alias("theta"))
+
+    return scalars.let(points, ends)
+
+
+def ellipse_to_sky_simple(e: Column, *head: Column, projection: str = "TAN") -> Column:
+    """The same by the pixel sizes alone: semi-axes times the pixel size along x, theta kept."""
+    size = F.abs(head[4])
+    return scalars.let(pixel_to_sky(e["x"], e["y"], *head, projection=projection), lambda s: F.struct(s["ra"].alias("x"), s["dec"].alias("y"), (e["r1"] * size).alias("r1"), (e["r2"] * size).alias("r2"), e["theta"].alias("theta")))
+
+
+def sky_string(ra: Column, dec: Column, system: str = "FK5") -> Column:
+    """"HH:MM:SS.sss +DD:MM:SS.ss system" of a position in degrees, rounded in the last place, never to 60."""
+    def parts(total: Column, unit: int, digits: int) -> Column:
+        two = lambda c: F.lpad(c.cast("string"), 2, "0")
+        whole, rest = F.floor(total / unit), total % unit
+        return F.concat(two(F.floor(whole / 3600)), F.lit(":"), two(F.floor(whole / 60) % 60), F.lit(":"), two(whole % 60), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
+
+    hours = F.round(F.pmod(ra, F.lit(360.0)) * 240_000).cast("long") % 86_400_000
+    degrees = F.round(F.abs(dec) * 360_000).cast("long")
+    return F.concat(parts(hours, 1000, 3), F.when(dec < 0, " -").otherwise(" +"), parts(degrees, 100, 2), F.lit(" " + system))

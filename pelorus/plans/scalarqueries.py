@@ -6,8 +6,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from pelorus.functions import contours, scalars as S
+from pelorus.functions import contours, skymodels, wcs
+from pelorus.functions import scalars as S
+from pelorus.operators import associate
 from pelorus.plans.runtime import table
+from pelorus.sources import catalogs
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -196,3 +199,59 @@ def ellipse_deconvolution(spark, sf_dir):
     e = shape(F.lit(1.0), F.when(turned, minor).otherwise(major), F.when(turned, major).otherwise(minor), F.when(turned, F.lit(130.0)).otherwise(F.lit(40.0)))
     beam = shape(F.lit(0.0), F.lit(1.5), F.lit(1.5), F.lit(0.0))
     return rounded(table(spark, sf_dir, "part").select("p_partkey", S.deconvolved_ellipse(e, beam).alias("d")).select("p_partkey", "d.r1", "d.r2", "d.theta", "d.x"))
+
+
+_HEAD = [("cx", 10.0), ("cy", 20.0), ("xc", 50.0), ("yc", 5.0), ("dx", -0.01), ("dy", 0.01)]
+
+
+@query("""WITH s AS (SELECT s_suppkey, (s_suppkey % 50)::DOUBLE AS x, (s_suppkey % 30)::DOUBLE AS y FROM supplier), p AS (SELECT s_suppkey, unnest([0, 1, 2]) AS k, x, y FROM s)
+SELECT s_suppkey, k, round(50 + (x + k + 0.5 + 1 - 10) * -0.01, 6) AS ra, round(5 + (y + 2 * k + 0.5 + 1 - 20) * 0.01, 6) AS dec FROM p""")
+def contour_on_sky(spark, sf_dir):
+    x, y = (F.col("s_suppkey") % 50).cast("double"), (F.col("s_suppkey") % 30).cast("double")
+    verts = F.array(*(F.struct((x + k).alias("x"), (y + 2 * k).alias("y")) for k in range(3)))
+    sky = wcs.contour_to_sky(verts, *(F.lit(v) for _, v in _HEAD), offset=0.5, projection="CAR")
+    d = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(sky).alias("k", "p"))
+    return d.select("s_suppkey", "k", F.round("p.x", 6).alias("ra"), F.round("p.y", 6).alias("dec"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, (s_suppkey % 50)::DOUBLE AS x, (s_suppkey % 30)::DOUBLE AS y, 2.0 + s_suppkey % 5 AS r1, 1.0 + s_suppkey % 2 AS r2, radians(s_suppkey % 90) AS t FROM supplier),
+c AS (SELECT s_suppkey, r1, r2, 50 + (x + 1 - 10) * -0.01 AS ra, 5 + (y + 1 - 20) * 0.01 AS dec, 50 + (x + r1 * cos(t) + 1 - 10) * -0.01 AS ra1, 5 + (y + r1 * sin(t) + 1 - 20) * 0.01 AS dec1 FROM s)
+SELECT s_suppkey, round(degrees(2 * asin(sqrt(power(sin(radians(dec1 - dec) / 2), 2) + cos(radians(dec)) * cos(radians(dec1)) * power(sin(radians(ra1 - ra) / 2), 2)))) * 3600, 3) AS major,
+  round(90 - degrees(atan2(sin(radians(ra1 - ra)) * cos(radians(dec1)), cos(radians(dec)) * sin(radians(dec1)) - sin(radians(dec)) * cos(radians(dec1)) * cos(radians(ra1 - ra)))), 3) AS theta, round(r1 * 36, 3) AS simple FROM c""")
+def ellipse_on_sky(spark, sf_dir):
+    k = F.col("s_suppkey")
+    e = F.struct((k % 50).cast("double").alias("x"), (k % 30).cast("double").alias("y"), (2.0 + k % 5).alias("r1"), (1.0 + k % 2).alias("r2"), (k % 90).cast("double").alias("theta"))
+    head = [F.lit(v) for _, v in _HEAD]
+    d = table(spark, sf_dir, "supplier").select("s_suppkey", wcs.ellipse_to_sky(e, *head, projection="CAR").alias("e"), wcs.ellipse_to_sky_simple(e, *head, projection="CAR").alias("s"))
+    return rounded(d.select("s_suppkey", (F.col("e.r1") * 3600).alias("major"), F.col("e.theta").alias("theta"), (F.col("s.r1") * 3600).alias("simple")), 3)
+
+
+@query("""WITH c AS (SELECT c_custkey, (c_custkey * 7919 % 36000) / 100.0 AS ra, (c_custkey * 104729 % 18000) / 100.0 - 90.0 AS dec FROM customer), t AS (SELECT *, (round(ra * 240000)::BIGINT) % 86400000 AS h, round(abs(dec) * 360000)::BIGINT AS d FROM c)
+SELECT c_custkey, lpad((h // 3600000)::VARCHAR, 2, '0') || ':' || lpad((h // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((h // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((h % 1000)::VARCHAR, 3, '0') || CASE WHEN dec < 0 THEN ' -' ELSE ' +' END
+  || lpad((d // 360000)::VARCHAR, 2, '0') || ':' || lpad((d // 6000 % 60)::VARCHAR, 2, '0') || ':' || lpad((d // 100 % 60)::VARCHAR, 2, '0') || '.' || lpad((d % 100)::VARCHAR, 2, '0') || ' FK5' AS sky FROM t""")
+def sky_strings(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", wcs.sky_string((k * 7919 % 36000) / 100.0, (k * 104729 % 18000) / 100.0 - 90.0).alias("sky"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_partkey % 21 - 10)::DOUBLE AS x, (p_partkey // 21 % 21 - 10)::DOUBLE AS y FROM part), d AS (SELECT *, sqrt(x * x + y * y) AS r FROM p)
+SELECT p_partkey, CASE WHEN r <= 5 THEN 2.0 ELSE 0.0 END AS disk, CASE WHEN r >= 4 AND r <= 6 THEN 2.0 ELSE 0.0 END AS ring, CASE WHEN r < 4 THEN 0.5 WHEN r <= 6 THEN 2.0 ELSE 0.0 END AS bubble,
+  CASE WHEN power((x * cos(radians(30)) + y * sin(radians(30))) / 8, 2) + power((y * cos(radians(30)) - x * sin(radians(30))) / 3, 2) <= 1 THEN 2.0 ELSE 0.0 END AS ellipse,
+  round(2 * exp(-(8 - 1.0 / 3 + 4.0 / 1620 + 46.0 / 408240) * (pow(r / 4, 0.25) - 1)), 5) AS sersic FROM d""")
+def extended_models(spark, sf_dir):
+    k = F.col("p_partkey")
+    x, y = (k % 21 - 10).cast("double"), (F.floor(k / 21) % 21 - 10).cast("double")
+    d = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), y.alias("y"), F.sqrt(x * x + y * y).alias("r"))
+    two, lit = F.lit(2.0), F.lit
+    return rounded(d.select(
+        "p_partkey", skymodels.disk(F.col("r"), two, lit(5.0)).alias("disk"), skymodels.ring(F.col("r"), two, lit(4.0), lit(2.0)).alias("ring"), skymodels.bubble(F.col("r"), two, lit(4.0), lit(2.0), 0.25).alias("bubble"),
+        skymodels.elliptical_disk(F.col("x"), F.col("y"), two, lit(8.0), lit(3.0), lit(30.0)).alias("ellipse"), skymodels.sersic(F.col("r"), two, lit(4.0), 4.0).alias("sersic"),
+    ))
+
+
+@query("""SELECT s_suppkey, 'ellipse(' || printf('%.6f', s_suppkey % 360 + 0.5) || ',' || printf('%.6f', s_suppkey % 80 - 40.25) || ',0.010000,0.005000,30.00) # color=' || CASE s_suppkey % 6 WHEN 3 THEN 'green' WHEN 4 THEN 'magenta' WHEN 2 THEN 'red' WHEN 1 THEN 'blue' WHEN 5 THEN 'yellow' ELSE 'white' END || ' text={' || s_name || '}' AS value FROM supplier""")
+def coloured_regions(spark, sf_dir):
+    k = F.col("s_suppkey")
+    empty = {c: F.lit(None).cast("double") for c in ("r", "w", "h")}
+    d = table(spark, sf_dir, "supplier").withColumns({"shape": F.lit("ellipse"), "cx": k % 360 + 0.5, "cy": k % 80 - 40.25, "a": F.lit(0.01), "b": F.lit(0.005), "theta": F.lit(30.0), "name": F.col("s_name"), "color": associate.region_colour((k % 6).cast("int")), "verts": F.lit(None).cast("array<struct<x:double,y:double>>"), "tags": F.lit(None).cast("array<string>"), **empty})
+    return catalogs.region_lines(d, keep=["s_suppkey"])

@@ -104,8 +104,9 @@ def parse_regions(lines: DataFrame, column: str = "value") -> DataFrame:
     return out.drop("_n")
 
 
-def region_lines(rows: DataFrame) -> DataFrame:
-    """value: a DS9 line for each circle, box or ellipse of a table with the columns of parse_regions."""
+def region_lines(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """value: a DS9 line for each circle, box, ellipse or polygon of a table with the columns of parse_regions, and ``color`` if it
+    has one; columns named in ``keep`` come along."""
     deg = lambda c: F.format_string("%.6f", F.col(c))
     shape = (
         F.when(F.col("shape") == "circle", F.concat(F.lit("circle("), F.concat_ws(",", deg("cx"), deg("cy"), F.format_string('%.3f"', F.col("r") * 3600)), F.lit(")")))
@@ -113,8 +114,9 @@ def region_lines(rows: DataFrame) -> DataFrame:
         .when(F.col("shape") == "ellipse", F.concat(F.lit("ellipse("), F.concat_ws(",", deg("cx"), deg("cy"), deg("a"), deg("b"), F.format_string("%.2f", "theta")), F.lit(")")))
         .when(F.col("shape") == "polygon", F.concat(F.lit("polygon("), F.array_join(F.transform("verts", lambda p: F.concat(F.format_string("%.6f", p["x"]), F.lit(","), F.format_string("%.6f", p["y"]))), ","), F.lit(")")))
     )
-    tail = F.concat(F.when(F.col("name").isNotNull(), F.concat(F.lit(" text={"), "name", F.lit("}"))).otherwise(""), F.array_join(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit(" tag={"), t, F.lit("}"))), ""))
-    return rows.filter("shape is not null").select(F.concat(shape, F.when(tail != "", F.concat(F.lit(" #"), tail)).otherwise("")).alias("value"))
+    colour = F.concat(F.lit(" color="), F.coalesce("color", F.lit("white"))) if "color" in rows.columns else F.lit("")
+    tail = F.concat(colour, F.when(F.col("name").isNotNull(), F.concat(F.lit(" text={"), "name", F.lit("}"))).otherwise(""), F.array_join(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit(" tag={"), t, F.lit("}"))), ""))
+    return rows.filter("shape is not null").select(*(keep or []), F.concat(shape, F.when(tail != "", F.concat(F.lit(" #"), tail)).otherwise("")).alias("value"))
 
 
 def island_lines(rows: DataFrame, columns: list[str], header: bool = True) -> DataFrame:

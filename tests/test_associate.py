@@ -99,3 +99,14 @@ def test_background_estimators(spark):
     twice = image.two_pass_background(d.filter("image_id = 'a'"), 10, 10).collect()
     assert len(twice) == 4 and all(r["rms"] > 0 for r in twice)
     assert image.background(d.limit(0), 10, 10, "clipped").count() == 0
+
+
+def test_noise_is_the_same_in_any_partition(spark):
+    from pyspark.sql import functions as F
+
+    from pelorus.functions import skymodels
+
+    d = spark.range(4000).select("id", skymodels.noise(3.0, 2.0, 7, F.col("id")).alias("n"))
+    got = np.array([r["n"] for r in d.orderBy("id").collect()])
+    assert abs(got.mean() - 3) < 0.15 and abs(got.std() - 2) < 0.15
+    assert np.array_equal(got, [r["n"] for r in spark.range(4000).repartition(7).select("id", skymodels.noise(3.0, 2.0, 7, F.col("id")).alias("n")).orderBy("id").collect()])
