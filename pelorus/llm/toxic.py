@@ -50,22 +50,23 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> t
     emit: (sequences, length) score of the toxic state against the clean one; trans: 2x2 log weights.
     """
     d, n = emit.shape
-    w, e, m = np.exp(trans), np.exp(np.clip(emit.T, -50, 50)), mask.T
-    f, scale = np.empty((n, 2, d)), np.ones((n, d))
+    kind = emit.dtype
+    w, e, m = np.exp(trans).astype(kind), np.exp(np.clip(emit.T, -50, 50)), mask.T
+    f, scale = np.empty((n, 2, d), kind), np.ones((n, d), kind)
     scale[0] = 1.0 + e[0]
     f[0, 0], f[0, 1] = 1.0 / scale[0], e[0] / scale[0]
     for t in range(1, n):
         x0 = f[t - 1, 0] * w[0, 0] + f[t - 1, 1] * w[1, 0]
         x1 = (f[t - 1, 0] * w[0, 1] + f[t - 1, 1] * w[1, 1]) * e[t]
-        scale[t] = np.where(m[t], x0 + x1, 1.0)
+        scale[t] = np.where(m[t], x0 + x1, kind.type(1))
         f[t, 0], f[t, 1] = np.where(m[t], x0 / scale[t], f[t - 1, 0]), np.where(m[t], x1 / scale[t], f[t - 1, 1])
-    out, pairs = np.empty((n, d)), np.zeros((2, 2))
-    b0, b1 = np.ones(d), np.ones(d)
+    out, pairs = np.empty((n, d), kind), np.zeros((2, 2))
+    b0, b1 = np.ones(d, kind), np.ones(d, kind)
     for t in range(n - 1, -1, -1):
         out[t] = f[t, 1] * b1
         if t:
             # what follows the step into t, on the scale of the forward pass
-            y0, y1 = np.where(m[t], b0 / scale[t], 0.0), np.where(m[t], b1 * e[t] / scale[t], 0.0)
+            y0, y1 = np.where(m[t], b0 / scale[t], kind.type(0)), np.where(m[t], b1 * e[t] / scale[t], kind.type(0))
             for j, y in ((0, y0), (1, y1)):
                 for i in (0, 1):
                     pairs[i, j] += w[i, j] * np.dot(f[t - 1, i], y)
@@ -157,7 +158,7 @@ class Model:
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, rounds + 1):
             self.bias = float(params[2][0])
-            p, pairs, _ = forward_backward(self.emit(flat).reshape(shape), mask, self.trans)
+            p, pairs, _ = forward_backward(self.emit(flat).astype(np.float32).reshape(shape), mask, self.trans)
             miss = truth - p.ravel()
             gw, gf = np.empty_like(self.by_word), np.empty_like(self.by_fold)
             for k, o in enumerate(OFFSETS):
@@ -287,6 +288,7 @@ def train(docs: list[list[str]], toxic: list[int]) -> Model:
     if not any(y.any() for y in labels):
         return model
     packed = model.pack(docs)
+    model.cache.clear()
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in range(len(docs))])
     # a label without a stretch is a wrong one, or shows words that nothing vouches for
     kept = np.array([y.any() or not t for y, t in zip(labels, toxic)])
