@@ -49,19 +49,13 @@ def dilated_sources(spark, sf_dir):
     return residual.dilate_sources(raster(spark, sf_dir), s, 3)
 
 
-@query(f"""WITH {PX}, s AS (SELECT DISTINCT 'A' AS image_id, s_suppkey * 37 % 64 AS ix, s_suppkey * 11 % 64 AS iy, s_suppkey % 10 AS blob FROM supplier WHERE s_suppkey <= 20),
+@query(f"""WITH {PX}, s AS (SELECT DISTINCT 'A' AS image_id, s_suppkey * 37 % 64 AS ix, s_suppkey * 11 % 64 AS iy, s_suppkey AS blob FROM supplier),
 f AS (SELECT * FROM px WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.image_id = px.image_id AND s.ix = px.ix AND s.iy = px.iy)),
 b AS (SELECT image_id, blob, min(ix) - 2 AS x0, max(ix) + 2 AS x1, min(iy) - 2 AS y0, max(iy) + 2 AS y1 FROM s GROUP BY 1, 2),
 n AS (SELECT blob, v FROM f JOIN b ON b.image_id = f.image_id AND ix BETWEEN x0 AND x1 AND iy BETWEEN y0 AND y1),
 m AS (SELECT blob, count(*) AS n, median(v) AS bkg FROM n GROUP BY 1)
 SELECT blob, m.n, round(bkg, 4) AS bkg, round(median(abs(v - bkg)) * 1.4826, 4) AS rms FROM n JOIN m USING (blob) GROUP BY 1, 2, 3""")
 def local_background(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").select(F.lit("A").alias("image_id"), F.pmod(F.col("s_suppkey") * 37, F.lit(64)).alias("ix"), F.pmod(F.col("s_suppkey") * 11, F.lit(64)).alias("iy"), (F.col("s_suppkey") % 10).alias("blob")).distinct()
-    return rounded(residual.local_background(raster(spark, sf_dir), s, 2))
-
-
-@query()
-def local_background_all(spark, sf_dir):
     """Every supplier is a source of its own; the pixels of all of them are masked."""
     s = _sources(spark, sf_dir).select("image_id", F.col("x").cast("long").alias("ix"), F.col("y").cast("long").alias("iy"), F.col("id").alias("blob"))
     return rounded(residual.local_background(raster(spark, sf_dir), s, 2))

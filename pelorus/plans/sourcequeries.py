@@ -49,9 +49,9 @@ def ds9_round_trip(spark, sf_dir):
     return p.select(F.col("name").cast("long").alias("region_id"), F.size("verts").alias("n"), F.round(F.aggregate("verts", F.lit(0.0), lambda a, v: a + v["x"]), 4).alias("sx"))
 
 
-@query("SELECT image_id, count(*) AS n_lines FROM components WHERE image_id IS NOT NULL GROUP BY 1")
+@query("SELECT coalesce(image_id, '-999') AS image_id, count(*) AS n_lines FROM components GROUP BY 1")
 def island_ascii(spark, sf_dir):
-    d = table(spark, sf_dir, "components").filter("image_id is not null")
+    d = table(spark, sf_dir, "components")
     lines = catalogs.island_lines(d, ["image_id", "sname", "npix", "x0_wcs", "y0_wcs", "s", "morphid"], header=False)
     return lines.groupBy(F.split("value", " ")[0].alias("image_id")).agg(F.count("*").alias("n_lines"))
 

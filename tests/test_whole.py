@@ -1,4 +1,4 @@
-"""The whole job of queries whose SQL takes a part, against brute force."""
+"""Whole jobs against brute force."""
 
 from itertools import combinations
 
@@ -27,12 +27,12 @@ def shop(spark, tmp_path):
 def test_triples_of_all_links(spark, shop):
     linked = {frozenset(e) for e in shop[1]}
     expected = [list(t) for t in combinations(range(6), 3) if all(frozenset(e) in linked for e in combinations(t, 2))]
-    assert sorted(r["members"] for r in linkqueries.clique_triples_all(spark, shop[0]).collect()) == expected == [[0, 1, 2], [1, 2, 3]]
+    assert sorted(r["members"] for r in linkqueries.clique_triples(spark, shop[0]).collect()) == expected == [[0, 1, 2], [1, 2, 3]]
 
 
 def test_components_of_all_customers(spark, shop):
     # balances of 0 to 50: each nation and its customer
-    got = {r["node"]: r["component"] for r in linkqueries.graph_components_all(spark, shop[0]).collect()}
+    got = {r["node"]: r["component"] for r in linkqueries.graph_components(spark, shop[0]).collect()}
     assert got == {n: k for k in range(6) for n in (k, 1_000_000 + k)}
 
 
@@ -44,7 +44,7 @@ def test_rank_over_all_links(spark, shop):
     for _ in range(200):
         r = 0.85 * m @ r + 0.15 / 6 * r.sum()
         r /= np.linalg.norm(r)
-    got = {x["node"]: x["rank"] for x in linkqueries.page_rank_all(spark, shop[0]).collect()}
+    got = {x["node"]: x["rank"] for x in linkqueries.page_rank_settled(spark, shop[0]).collect()}
     assert [got[k] for k in range(6)] == pytest.approx(r, abs=1e-3)
 
 
@@ -58,7 +58,7 @@ def test_background_of_all_sources(spark, tmp_path):
     for k, (x, y) in at.items():
         v = [q for _, i, j, q in rows if abs(i - x) <= 2 and abs(j - y) <= 2 and (i, j) not in at.values()]
         expected[k] = (len(v), np.median(v), np.median(np.abs(v - np.median(v))) * 1.4826)
-    got = {r["blob"]: (r["n"], r["bkg"], r["rms"]) for r in measurequeries.local_background_all(spark, str(tmp_path)).collect()}
+    got = {r["blob"]: (r["n"], r["bkg"], r["rms"]) for r in measurequeries.local_background(spark, str(tmp_path)).collect()}
     assert sorted(got) == sorted(expected) and all(got[k] == pytest.approx(expected[k], abs=1e-3) for k in got)
 
 
