@@ -152,8 +152,8 @@ class Model:
         shape, n = flat.shape, flat.size
         flat, truth, mask = flat.ravel(), y.ravel(), np.ones(shape, bool)
         seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-        w, f, reach = flat >> 32, flat & 0xFFFFFFFF, max(OFFSETS)
-        wide_w, wide_f = (np.concatenate([np.zeros(reach, np.int64), x, np.zeros(reach, np.int64)]) for x in (w, f))
+        reach = max(OFFSETS)
+        wide_w, wide_f = (np.pad(x.astype(np.int32), reach) for x in (flat >> 32, flat & 0xFFFFFFFF))
         params = [self.by_word, self.by_fold, np.array([self.bias]), self.trans]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, rounds + 1):
