@@ -110,3 +110,15 @@ def test_noise_is_the_same_in_any_partition(spark):
     got = np.array([r["n"] for r in d.orderBy("id").collect()])
     assert abs(got.mean() - 3) < 0.15 and abs(got.std() - 2) < 0.15
     assert np.array_equal(got, [r["n"] for r in spark.range(4000).repartition(7).select("id", skymodels.noise(3.0, 2.0, 7, F.col("id")).alias("n")).orderBy("id").collect()])
+
+
+def test_group_summary_first_member_by_joined_text(spark):
+    rows = [
+        (1, "N", "4", 1.0, 3e9), (1, "N", "48", 1.0, 54e9), (1, "R", "1", 1.0, 9e9),
+        (2, "A", "4", 1.0, 3e9), (2, "N", "48", 1.0, 54e9),
+        (3, "A", "7", 1.0, 5e9), (3, "A", "7", 1.0, 2e9),
+        (4, None, "7", 1.0, 5e9), (4, "A", "7", 1.0, None), (4, "Z", "7", 1.0, 6e9),
+        (5, None, "7", 1.0, 5e9),
+    ]
+    got = {r["group_id"]: r["freq"] for r in associate.group_summary(spark.createDataFrame(rows, "group_id long, catalog string, name string, flux double, freq double")).collect()}
+    assert got == {1: 54.0, 2: 3.0, 3: 2.0, 4: 6.0, 5: None}
