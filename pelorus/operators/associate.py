@@ -141,14 +141,15 @@ def maximal_cliques(edges: DataFrame, most: int) -> DataFrame:
 
 
 def group_summary(members: DataFrame) -> DataFrame:
-    """group_id, names (sorted), n, n_catalogues, flux, freq (GHz, of the first member) of groups of matched sources.
+    """group_id, names (sorted, missing ones last), n, n_catalogues, flux, freq (GHz, of the first member) of groups of matched sources.
 
     members: group_id, catalog, name, flux, freq (Hz). A group holds a few members of each catalogue. The first member is that of the
     least text catalog|name|, so of 4 and 48 it is 48; at equal text the lowest frequency. Members without one of the three aren't first.
     """
     key = F.concat("catalog", F.lit("|"), "name", F.lit("|"))
     first = F.min(F.when(key.isNotNull() & F.col("freq").isNotNull(), F.struct(key.alias("k"), F.col("freq").alias("f"))))
-    d = members.groupBy("group_id").agg(F.array_sort(F.collect_list("name")).alias("names"), F.count("*").alias("n"), F.countDistinct("catalog").alias("n_catalogues"), F.sum("flux").alias("flux"), first.alias("_f"))
+    unnamed = F.array_repeat(F.lit(None).cast("string"), (F.count("*") - F.count("name")).cast("int"))
+    d = members.groupBy("group_id").agg(F.concat(F.array_sort(F.collect_list("name")), unnamed).alias("names"), F.count("*").alias("n"), F.countDistinct("catalog").alias("n_catalogues"), F.sum("flux").alias("flux"), first.alias("_f"))
     return d.select("group_id", "names", "n", "n_catalogues", "flux", (F.col("_f.f") / 1e9).alias("freq"))
 
 

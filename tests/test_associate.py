@@ -122,3 +122,9 @@ def test_group_summary_first_member_by_joined_text(spark):
     ]
     got = {r["group_id"]: r["freq"] for r in associate.group_summary(spark.createDataFrame(rows, "group_id long, catalog string, name string, flux double, freq double")).collect()}
     assert got == {1: 54.0, 2: 3.0, 3: 2.0, 4: 6.0, 5: None}
+
+
+def test_group_summary_keeps_members_without_a_name(spark):
+    rows = [(1, "A", "b", 1.0, 1e9), (1, "A", None, 1.0, 1e9), (1, "A", "a", 1.0, 1e9), (2, None, None, None, None)]
+    got = {r["group_id"]: (r["names"], r["n"]) for r in associate.group_summary(spark.createDataFrame(rows, "group_id long, catalog string, name string, flux double, freq double")).collect()}
+    assert got == {1: (["a", "b", None], 3), 2: ([None], 1)}
