@@ -25,6 +25,6 @@ def apply(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFra
 
 
 def efficiencies(tagged: DataFrame, truth: str, predicted: str = "predicted") -> DataFrame:
-    """n, efficiency (real found), purity (found real), in one pass."""
+    """n, efficiency (real found), purity (found real), in one pass; a share of nothing is null."""
     t, p = F.col(truth).cast("int"), F.col(predicted).cast("int")
-    return tagged.agg(F.count("*").alias("n"), (F.sum(t * p) / F.sum(t)).alias("efficiency"), (F.sum(t * p) / F.sum(p)).alias("purity"))
+    return tagged.agg(F.count("*").alias("n"), F.try_divide(F.sum(t * p), F.sum(t)).alias("efficiency"), F.try_divide(F.sum(t * p), F.sum(p)).alias("purity"))

@@ -110,7 +110,7 @@ def ellipse_overlaps(spark, sf_dir):
 
 @query()
 def component_classifier(spark, sf_dir):
-    c = table(spark, sf_dir, "components").select("comp_id", F.log10(F.when(F.col("a") > 0, F.col("a"))).alias("lg_a"), F.col("npix").cast("double").alias("npix"), (F.col("chi2") / F.col("ndf")).alias("red"), (F.col("sourcenessid") == 2).cast("int").alias("fake"))
+    c = table(spark, sf_dir, "components").select("comp_id", F.log10(F.when(F.col("a") > 0, F.col("a"))).alias("lg_a"), F.col("npix").cast("double").alias("npix"), F.try_divide("chi2", "ndf").alias("red"), (F.col("sourcenessid") == 2).cast("int").alias("fake"))
     features = ["lg_a", "npix", "red"]
     model = classify.train(c, features, "fake", (6,))
     return classify.efficiencies(classify.apply(model, c, features), "fake")
