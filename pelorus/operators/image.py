@@ -74,11 +74,10 @@ def convolve(pixels: DataFrame, kernels: dict[str, list[list[float]]], gap: int
     arrays = {n: np.array(k, float) for n, k in kernels.items()}
     halo = gap * max(max(k.shape) // 2 for k in arrays.values())
 
-    def run(grid: np.ndarray, bounds) -> dict[str, np.ndarray]:
-        a = np.nan_to_num(stencil.mirrored(grid, bounds, halo) if border == "mirror" else grid)
-        return {n: stencil.correlate(a, k, gap) for n, k in arrays.items()}
+    def run(field) -> dict[str, np.ndarray]:
+        return {n: field.correlate(field.v, k, gap, border == "mirror") for n, k in arrays.items()}
 
-    return stencil.on_tiles(pixels, run, list(arrays), halo, extent(pixels) if border == "mirror" else None, tile)
+    return stencil.near(pixels, run, list(arrays), halo, extent(pixels) if border == "mirror" else None, tile)
 
 
 def log_filter(pixels: DataFrame) -> DataFrame:
@@ -107,66 +106,71 @@ def wavelet(pixels: DataFrame, scales: int = 3, tile: int = stencil.TILE) -> Dat
     kernel = np.array(b3_kernel())
     halo = 2 * (2**scales - 1)
 
-    def run(grid: np.ndarray, _) -> dict[str, np.ndarray]:
-        seen, now, out = np.isfinite(grid), np.nan_to_num(grid), {}
+    def run(field) -> dict[str, np.ndarray]:
+        seen, now, out = np.isfinite(field.v), np.nan_to_num(field.v), {}
         for n in range(1, scales + 1):
-            smooth = np.where(seen, stencil.correlate(now, kernel, 2 ** (n - 1)), 0.0)
+            smooth = np.where(seen, field.correlate(now, kernel, 2 ** (n - 1)), 0.0)
             out[f"w{n}"], now = now - smooth, smooth
         return {**out, f"w{scales + 1}": now}
 
     names = [f"w{n}" for n in range(1, scales + 2)]
     planes = F.array(*(F.struct(F.lit(n).alias("plane"), F.col(f"w{n}").alias("w")) for n in range(1, scales + 2)))
-    return stencil.on_tiles(pixels, run, names, halo, None, tile).select(*PIXEL, F.inline(planes))
+    return stencil.near(pixels, run, names, halo, None, tile).select(*PIXEL, F.inline(planes))
 
 
-def morphology(pixels: DataFrame, operation: str = "dilate", size: int = 3, tile: int = stencil.TILE) -> DataFrame:
-    """Square grey morphology over existing pixels: dilate, erode, open, close, gradient, tophat, blackhat; column ``m``. One shuffle."""
+def _morphology(field, operation: str, half: int) -> np.ndarray:
+    seen = np.isfinite(field.v)
+
+    def step(a: np.ndarray, largest: bool) -> np.ndarray:
+        return np.where(seen, field.extreme(a, half, largest), np.nan)
+
+    if operation in ("dilate", "erode"):
+        return step(field.v, operation == "dilate")
+    if operation == "gradient":
+        return step(field.v, True) - step(field.v, False)
+    first = operation in ("close", "blackhat")
+    inner = step(step(field.v, first), not first)
+    return inner if operation in ("open", "close") else field.v - inner if operation == "tophat" else inner - field.v
+
+
+def morphologies(pixels: DataFrame, operations: tuple[str, ...], size: int = 3, tile: int = stencil.TILE, repeated: str = "max") -> DataFrame:
+    """Square grey morphology over existing pixels, one column an operation: dilate, erode, open, close, gradient, tophat, blackhat. One shuffle.
+
+    A pixel given several times counts by ``repeated`` (sum, max or min).
+    """
     half = size // 2
+    twice = any(o not in ("dilate", "erode", "gradient") for o in operations)
+    return stencil.near(pixels, lambda field: {o: _morphology(field, o, half) for o in operations}, list(operations), half * (2 if twice else 1), None, tile, repeated).select(*PIXEL, *operations)
 
-    def run(grid: np.ndarray, _) -> dict[str, np.ndarray]:
-        seen = np.isfinite(grid)
 
-        def step(a: np.ndarray, largest: bool) -> np.ndarray:
-            return np.where(seen, stencil.extreme(a, half, largest), np.nan)
+def morphology(pixels: DataFrame, operation: str = "dilate", size: int = 3, tile: int = stencil.TILE) -> DataFrame:
+    """One operation of ``morphologies`` as column ``m``."""
+    return morphologies(pixels, (operation,), size, tile, "min" if operation == "erode" else "max").withColumnRenamed(operation, "m")
 
-        if operation in ("dilate", "erode"):
-            return {"m": step(grid, operation == "dilate")}
-        if operation == "gradient":
-            return {"m": step(grid, True) - step(grid, False)}
-        first = operation in ("close", "blackhat")
-        inner = step(step(grid, first), not first)
-        return {"m": inner if operation in ("open", "close") else grid - inner if operation == "tophat" else inner - grid}
 
-    twice = operation not in ("dilate", "erode", "gradient")
-    return stencil.on_tiles(pixels, run, ["m"], half * (2 if twice else 1), None, tile, "min" if operation == "erode" else "max").select(*PIXEL, "m")
+def _peaks(field, half: int, skip_border: bool) -> np.ndarray:
+    top = (field.v == field.extreme(field.v, half, True)) & (field.v != 0) & (field.v != field.shifted(field.v, 1, 1))
+    return top & field.inside(half) if skip_border else top
 
 
-def peaks(pixels: DataFrame, size: int = 3, skip_border: bool = True, tile: int = stencil.TILE) -> DataFrame:
+def peaks(pixels: DataFrame, size: int = 3, skip_border: bool = True, tile: int = stencil.TILE, repeated: str = "max") -> DataFrame:
     """Local maxima: normal pixels (not 0) equal to their dilation, off the border, not level with their lower-left neighbour."""
     half = size // 2
+    # an image's bounds are one row
+    bounds = extent(pixels) if skip_border else None
+    return stencil.near(pixels, lambda field: {"top": _peaks(field, half, skip_border)}, ["top"], max(half, 1), bounds, tile, repeated, "top").select(*PIXEL, "v")
+
+
+def multi_kernel_peaks(pixels: DataFrame, sizes: tuple[int, ...] = (3, 5, 7), tolerance: int = 1, multiplicity: int = 2, tile: int = stencil.TILE, repeated: str = "max") -> DataFrame:
+    """Peaks of the first kernel that lie within ``tolerance`` pixels of peaks of ``multiplicity`` kernels or more, itself included. One shuffle."""
+    def run(field) -> dict[str, np.ndarray]:
+        # the largest first: its pairs of pixels serve the others
+        tops = {s: _peaks(field, s // 2, True) for s in sorted(set(sizes), reverse=True)}
+        votes = sum((field.extreme(np.where(t, 1.0, np.nan), tolerance, True) == 1).astype(float) for t in tops.values())
+        return {"kernels": votes, "kept": tops[sizes[0]] & (votes >= multiplicity)}
 
-    def run(grid: np.ndarray, _) -> dict[str, np.ndarray]:
-        top = (grid == stencil.extreme(grid, half, True)) & (grid != 0) & (grid != stencil.shifted(grid, 1, 1, np.nan))
-        return {"top": top.astype(float)}
-
-    out = stencil.on_tiles(pixels, run, ["top"], half, None, tile, "max").filter("top = 1")
-    if skip_border:
-        # an image's bounds are one row
-        out = out.join(extent(pixels), "image_id").filter(F.col("ix").between(F.col("x0") + half, F.col("x1") - half) & F.col("iy").between(F.col("y0") + half, F.col("y1") - half))
-    return out.select(*PIXEL, "v")
-
-
-def multi_kernel_peaks(pixels: DataFrame, sizes: tuple[int, ...] = (3, 5, 7), tolerance: int = 1, multiplicity: int = 2) -> DataFrame:
-    """Peaks of the first kernel that lie within ``tolerance`` pixels of peaks of ``multiplicity`` kernels or more, itself included."""
-    all_ = None
-    for s in sizes:
-        p = peaks(pixels, s).withColumn("kernel", F.lit(s))
-        all_ = p if all_ is None else all_.unionByName(p)
-    base = all_.filter(F.col("kernel") == sizes[0])
-    steps = F.sequence(F.lit(-tolerance), F.lit(tolerance))
-    near = all_.select("image_id", "kernel", "ix", "iy", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy")).select("image_id", "kernel", (F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy")).distinct()
-    votes = near.groupBy(*PIXEL).agg(F.countDistinct("kernel").alias("kernels"))
-    return base.drop("kernel").join(votes, PIXEL).filter(F.col("kernels") >= multiplicity)
+    halo = max(max(sizes) // 2, 1) + tolerance
+    return stencil.near(pixels, run, ["kernels", "kept"], halo, extent(pixels), tile, repeated, "kept").select(*PIXEL, "v", F.col("kernels").cast("long").alias("kernels"))
 
 
 def tiled(pixels: DataFrame, w: int, h: int) -> DataFrame:

@@ -230,6 +230,11 @@ def wide_raster(spark, sf_dir):
     return d.groupBy("image_id", "ix", "iy").agg(F.sum("l_quantity").alias("v"))
 
 
+def wide_lines(spark, sf_dir):
+    """Every part and supplier its own pixel column and row: the image grows with the tables. A row a line; a pixel's lines are summed where its tile is."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("image_id"), F.col("l_partkey").alias("ix"), F.col("l_suppkey").alias("iy"), F.col("l_quantity").alias("v"))
+
+
 WIDE = "px AS (SELECT l_returnflag AS image_id, l_partkey AS ix, l_suppkey AS iy, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
 
@@ -278,8 +283,7 @@ def _square(source: str, how: str) -> str:
 @query(f"""WITH {WIDE}, lo AS {_square('px', 'min')}, hi AS {_square('px', 'max')}, op AS {_square('lo', 'max')}, cl AS {_square('hi', 'min')}
 SELECT image_id, ix, iy, px.v - op.v AS tophat, cl.v - px.v AS blackhat FROM px JOIN op USING (image_id, ix, iy) JOIN cl USING (image_id, ix, iy)""")
 def hat_transforms(spark, sf_dir):
-    d = wide_raster(spark, sf_dir)
-    return image.morphology(d, "tophat").withColumnRenamed("m", "tophat").join(image.morphology(d, "blackhat").withColumnRenamed("m", "blackhat"), image.PIXEL)
+    return image.morphologies(wide_lines(spark, sf_dir), ("tophat", "blackhat"), repeated="sum")
 
 
 def _peak_sql(size: int) -> str:
