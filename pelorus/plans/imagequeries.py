@@ -295,7 +295,7 @@ def _peak_sql(size: int) -> str:
 @query(f"""WITH {WIDE}, e AS (SELECT image_id, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM px GROUP BY 1), k AS ({' UNION ALL '.join(f'SELECT * FROM {_peak_sql(n)}' for n in (3, 5, 7))})
 SELECT a.image_id, a.ix, a.iy, a.v, n.kernels FROM k a JOIN (SELECT image_id, ix + dx AS ix, iy + dy AS iy, count(DISTINCT kernel) AS kernels FROM k CROSS JOIN (VALUES {_around(1)}) o(dx, dy) GROUP BY 1, 2, 3) n USING (image_id, ix, iy) WHERE a.kernel = 3 AND n.kernels >= 2""")
 def peak_votes(spark, sf_dir):
-    return image.multi_kernel_peaks(wide_raster(spark, sf_dir))
+    return image.multi_kernel_peaks(wide_lines(spark, sf_dir), repeated="sum")
 
 
 _AVG = f"""{PX}, t AS (SELECT *, ix // 16 AS tx, iy // 16 AS ty FROM px), r AS (SELECT image_id, tx, ty, count(*) AS npix, avg(v) AS bkg, coalesce(stddev_samp(v), 0) AS rms FROM t GROUP BY 1, 2, 3)"""

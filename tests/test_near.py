@@ -12,8 +12,9 @@ from pelorus.plans import imagequeries
 UNEVEN = [[1.0, 2.0, 0.0], [0.5, 3.0, 1.0], [0.0, 4.0, 2.0]]
 OPERATIONS = [
     (lambda d, t: image.morphologies(d, ("tophat", "blackhat"), 3, t, "sum"), ("tophat", "blackhat")),
+    (lambda d, t: image.multi_kernel_peaks(d, tile=t, repeated="sum"), ("v", "kernels")),
 ]
-QUERIES = ["hat_transforms"]
+QUERIES = ["hat_transforms", "peak_votes"]
 
 
 @pytest.fixture(scope="module")
