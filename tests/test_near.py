@@ -13,8 +13,9 @@ UNEVEN = [[1.0, 2.0, 0.0], [0.5, 3.0, 1.0], [0.0, 4.0, 2.0]]
 OPERATIONS = [
     (lambda d, t: image.morphologies(d, ("tophat", "blackhat"), 3, t, "sum"), ("tophat", "blackhat")),
     (lambda d, t: image.multi_kernel_peaks(d, tile=t, repeated="sum"), ("v", "kernels")),
+    (lambda d, t: image.convolve(d, {"c": image.LOG7}, tile=t), ("c",)),
 ]
-QUERIES = ["hat_transforms", "peak_votes"]
+QUERIES = ["hat_transforms", "peak_votes", "fixed_log_filter"]
 
 
 @pytest.fixture(scope="module")
