@@ -265,7 +265,7 @@ s AS (SELECT a.image_id, a.ix, a.iy, k.w, CASE WHEN a.ix - k.dx < x0 THEN 2 * x0
   CASE WHEN a.iy - k.dy < y0 THEN 2 * y0 - a.iy + k.dy WHEN a.iy - k.dy > y1 THEN 2 * y1 - a.iy + k.dy ELSE a.iy - k.dy END AS my FROM px a JOIN e USING (image_id) CROSS JOIN (VALUES {_cells(_UNEVEN)}) k(dx, dy, w))
 SELECT s.image_id, s.ix, s.iy, round(sum(s.w * coalesce(b.v, 0)), 4) AS c FROM s LEFT JOIN px b ON b.image_id = s.image_id AND b.ix = s.mx AND b.iy = s.my GROUP BY 1, 2, 3""")
 def mirror_convolution(spark, sf_dir):
-    return rounded(image.convolve(wide_raster(spark, sf_dir), {"c": _UNEVEN}, border="mirror").drop("v"))
+    return quickly_rounded(image.convolve(wide_lines(spark, sf_dir), {"c": _UNEVEN}, border="mirror").drop("v"))
 
 
 @query(f"WITH {WIDE} SELECT image_id, ix, iy, round(c, 4) AS log FROM {_conv_of('px', image.LOG7)}")

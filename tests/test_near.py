@@ -14,8 +14,9 @@ OPERATIONS = [
     (lambda d, t: image.morphologies(d, ("tophat", "blackhat"), 3, t, "sum"), ("tophat", "blackhat")),
     (lambda d, t: image.multi_kernel_peaks(d, tile=t, repeated="sum"), ("v", "kernels")),
     (lambda d, t: image.convolve(d, {"c": image.LOG7}, tile=t), ("c",)),
+    (lambda d, t: image.convolve(d, {"c": UNEVEN}, border="mirror", tile=t), ("c",)),
 ]
-QUERIES = ["hat_transforms", "peak_votes", "fixed_log_filter"]
+QUERIES = ["hat_transforms", "peak_votes", "fixed_log_filter", "mirror_convolution"]
 
 
 @pytest.fixture(scope="module")
