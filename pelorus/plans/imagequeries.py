@@ -224,12 +224,6 @@ def chan_vese(spark, sf_dir):
     return segment.chan_vese(raster(spark, sf_dir), rounds=30)
 
 
-def wide_raster(spark, sf_dir):
-    """Every part and supplier its own pixel column and row: the image grows with the tables."""
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("image_id"), F.col("l_partkey").alias("ix"), F.col("l_suppkey").alias("iy"), "l_quantity")
-    return d.groupBy("image_id", "ix", "iy").agg(F.sum("l_quantity").alias("v"))
-
-
 def wide_lines(spark, sf_dir):
     """Every part and supplier its own pixel column and row: the image grows with the tables. A row a line; a pixel's lines are summed where its tile is."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("image_id"), F.col("l_partkey").alias("ix"), F.col("l_suppkey").alias("iy"), F.col("l_quantity").alias("v"))
@@ -279,7 +273,7 @@ _B3 = image.b3_kernel()
 @query(f"""WITH {WIDE}, s1 AS (SELECT image_id, ix, iy, v AS before, c AS v FROM {_conv_of('px', _B3)}), s2 AS (SELECT image_id, ix, iy, v AS before, c AS v FROM {_conv_of('s1', _B3, 2)}), s3 AS (SELECT image_id, ix, iy, v AS before, c AS v FROM {_conv_of('s2', _B3, 4)})
 SELECT image_id, ix, iy, 1::INT AS plane, round(before - v, 4) AS w FROM s1 UNION ALL SELECT image_id, ix, iy, 2, round(before - v, 4) FROM s2 UNION ALL SELECT image_id, ix, iy, 3, round(before - v, 4) FROM s3 UNION ALL SELECT image_id, ix, iy, 4, round(v, 4) FROM s3""")
 def wavelet3(spark, sf_dir):
-    return rounded(image.wavelet(wide_raster(spark, sf_dir), 3))
+    return quickly_rounded(image.wavelet(wide_lines(spark, sf_dir), 3))
 
 
 def _around(half: int) -> str:

@@ -15,8 +15,9 @@ OPERATIONS = [
     (lambda d, t: image.multi_kernel_peaks(d, tile=t, repeated="sum"), ("v", "kernels")),
     (lambda d, t: image.convolve(d, {"c": image.LOG7}, tile=t), ("c",)),
     (lambda d, t: image.convolve(d, {"c": UNEVEN}, border="mirror", tile=t), ("c",)),
+    (lambda d, t: image.wavelet(d, 3, t).groupBy(*image.PIXEL).pivot("plane", [1, 2, 3, 4]).agg(F.first("w")), ("1", "2", "3", "4")),
 ]
-QUERIES = ["hat_transforms", "peak_votes", "fixed_log_filter", "mirror_convolution"]
+QUERIES = ["hat_transforms", "peak_votes", "fixed_log_filter", "mirror_convolution", "wavelet3"]
 
 
 @pytest.fixture(scope="module")
