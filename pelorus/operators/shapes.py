@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,24 @@ def areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.abs((x * np.roll(y, -1, 1) - y * np.roll(x, -1, 1)).sum(1)) / 2
 
 
+def padded(flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corners x, y of lists x, y, x, y, ..., a row a list, filled up with the last one, and their numbers: 0 (and NaN) for null or none."""
+    starts, ends = flat.offsets.to_numpy()[:-1].astype(np.int64), flat.offsets.to_numpy()[1:].astype(np.int64)
+    n = np.where(flat.is_valid().to_numpy(zero_copy_only=False), (ends - starts) // 2, 0)
+    v = np.append(flat.values.to_numpy(zero_copy_only=False).astype(float), [np.nan, np.nan])
+    at = starts[:, None] + 2 * np.minimum(np.arange(max(int(n.max(initial=0)), 1)), np.maximum(n - 1, 0)[:, None])
+    at = np.where(n[:, None] > 0, at, len(v) - 2)
+    return v[at], v[at + 1], n
+
+
+def is_box(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which rows of corners are boxes along the axes, corner by corner."""
+    if x.shape[1] < 4:
+        return np.zeros(len(n), bool)
+    same = lambda z, k: z[:, k] == z[:, (k + 1) % 4]
+    return (n == 4) & (same(x, 0) & same(y, 1) & same(x, 2) & same(y, 3) | same(y, 0) & same(x, 1) & same(y, 2) & same(x, 3))
+
+
 def common_areas(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
     """``area(clip(subject, by))`` of pairs of convex anticlockwise polygons, a row a pair; rows are filled up by repeating a corner."""
     out, rows, sides = np.zeros(len(x)), np.arange(len(x)), bx.shape[1]

@@ -234,7 +234,7 @@ def quickly_rounded(df, digits=4):
     def of(c):
         at = F.abs(c) * 10.0**digits
         up = F.when(at - F.floor(at) >= 0.5, 1.0).otherwise(0.0)
-        return F.when(at < 2.0**52, F.signum(c) * (F.floor(at) + up) / 10.0**digits).otherwise(F.col(c)).alias(c)
+        return F.when(at < 2.0**52, F.signum(c) * (F.floor(at) + up) / 10.0**digits + 0.0).otherwise(F.col(c)).alias(c)
 
     return df.select(*(of(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
